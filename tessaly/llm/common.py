@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -76,3 +77,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
         return x ^ (x >> _U(31))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below the shared checkpoint folder and read back.
+
+    It cuts lineage as a checkpoint does, keeps columns apart, and gives Spark
+    a size to choose joins by.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, url_reputation
 from .common import table
 
 
@@ -18,8 +20,37 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of `pages`, by rules and by the reputation that labelled documents shown there give its host."""
+    from .url_reputation import judge_urls, labelled_pages
+
+    pages = table(spark, sf_dir, "pages")
+    out = judge_urls(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers over every whole text of `documents`."""
+    from .robust_quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all `documents` by source weights 1, 2, 3 takes of each."""
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_url_reputation": op4_url_reputation,
+    "op9_robust_quality": op9_robust_quality,
+    "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_reputation": url_reputation.ORACLE,
+    "op10_source_mix": mixing.ORACLE,
+}
