@@ -20,6 +20,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` as ids in a content-addressed store, and what its files say of each."""
+    import public_tokenizers as tokenizers
+
+    from .chunk_store import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of `pages`, by rules and by the reputation that labelled documents shown there give its host."""
     from .url_reputation import judge_urls, labelled_pages
@@ -29,6 +38,15 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 9))
 
 
+def op6_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of every whole text of `documents`."""
+    import public_tokenizers as tokenizers
+
+    from .word_tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers over every whole text of `documents`."""
     from .robust_quality import judge
@@ -45,7 +63,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_chunk_store": op3_chunk_store,
     "op4_url_reputation": op4_url_reputation,
+    "op6_prefix_counts": op6_prefix_counts,
     "op9_robust_quality": op9_robust_quality,
     "op10_source_mix": op10_source_mix,
 }
