@@ -47,6 +47,21 @@ def op6_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of `documents`, learned from two thirds of it."""
+    from .language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text of `documents`, learned from four fifths of `labels`."""
+    from .toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, docs, table(spark, sf_dir, "labels"))
+
+
 def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers over every whole text of `documents`."""
     from .robust_quality import judge
@@ -66,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chunk_store": op3_chunk_store,
     "op4_url_reputation": op4_url_reputation,
     "op6_prefix_counts": op6_prefix_counts,
+    "op7_ppm_language": op7_ppm_language,
+    "op8_subword_toxicity": op8_subword_toxicity,
     "op9_robust_quality": op9_robust_quality,
     "op10_source_mix": op10_source_mix,
 }
