@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_reputation
+from . import bit_sliced, mixing, url_reputation
 from .common import table
 
 
@@ -38,6 +38,13 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 9))
 
 
+def op5_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of each row of `embeddings` whose id is divisible by 50."""
+    from .bit_sliced import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of every whole text of `documents`."""
     import public_tokenizers as tokenizers
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chunk_store": op3_chunk_store,
     "op4_url_reputation": op4_url_reputation,
+    "op5_bit_sliced": op5_bit_sliced,
     "op6_prefix_counts": op6_prefix_counts,
     "op7_ppm_language": op7_ppm_language,
     "op8_subword_toxicity": op8_subword_toxicity,
@@ -89,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_url_reputation": url_reputation.ORACLE,
+    "op5_bit_sliced": bit_sliced.ORACLE,
     "op10_source_mix": mixing.ORACLE,
 }
