@@ -11,6 +11,13 @@ from . import bit_sliced, mixing, url_reputation
 from .common import table
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every whole text of `documents`."""
+    from .bag_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` through the byte-level transducer and back."""
     import public_tokenizers as tokenizers
@@ -84,6 +91,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bag_minhash": op1_bag_minhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chunk_store": op3_chunk_store,
     "op4_url_reputation": op4_url_reputation,
