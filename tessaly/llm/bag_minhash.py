@@ -292,3 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = classes.join(sizes.filter("class_size > 1").withColumnRenamed("component", "of"), F.col("component") == F.col("of"), "left")
     size = F.when(F.col("component").isNotNull(), F.coalesce("class_size", F.lit(1)).cast("long"))
     return sized.select(F.col("id").alias(id_col), F.col("component").alias("class_id"), size.alias("class_size"))
+
+
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class, that of the smallest id, all columns as they are; rows without an id stay."""
+    classes = near_duplicates(docs, id_col, text_col, **options)
+    firsts = classes.filter(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
+    return docs.join(firsts, id_col, "left_semi").dropDuplicates([id_col]).union(docs.filter(F.col(id_col).isNull()))

@@ -80,7 +80,7 @@ def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers over every whole text of `documents`."""
     from .robust_quality import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,11 @@ def _repeated(placed: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.filter(again, lambda x: x.isNotNull()))))
 
 
+def _row_key(*columns: Column) -> Column:
+    """What tells a row from others, whatever of it is null."""
+    return F.xxhash64(*columns)
+
+
 def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
@@ -89,6 +94,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chars = F.length(_without(text, SEPARATORS))
     counted = windows.select(
         "id", "lang", "source",
+        _row_key(F.col("id"), F.col("text"), F.col("lang"), F.col("source")).alias("row_key"),
         F.size("words").cast("long").alias("n_words"),
         chars.cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -179,4 +185,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     moments = _moments(_distance(core, moments).filter(F.col("d2") <= chi2_quantile(0.975, p)), 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2))
     cut = chi2_quantile(1 - tail, p)
     judged = _distance(rows, moments).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cut, F.lit(False)))
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "row_key")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that ``judge`` keeps."""
+    kept = judge(docs, id_col, text_col, lang_col, source_col, **options).filter("kept").select(F.col("row_key").alias("_kept_key")).distinct()
+    keyed = docs.withColumn("_row_key", _row_key(F.col(id_col), F.col(text_col), F.col(lang_col), F.col(source_col)))
+    return keyed.join(kept, F.col("_row_key") == F.col("_kept_key"), "left_semi").drop("_row_key")

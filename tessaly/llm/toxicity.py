@@ -171,3 +171,18 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 5, 0).alias("held"))
     return slim.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, max_chars: int = 4_000) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose whole text scores below one half."""
+    model = train(*labelled_sample(labelled_docs, labels, label_col, id_col, text_col, max_rows, max_chars))
+    shared = docs.sparkSession.sparkContext.broadcast((model.logit_rows, model.bias))
+    buckets, at = model.bag.buckets, docs.columns.index(text_col)
+
+    def run(batches):
+        rows, bias = shared.value
+        own = Model(Bag(buckets), rows, bias)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
