@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessaly.plans import ts_queries
+
+QUERIES: dict = {**ts_queries.QUERIES}
+ORACLES: dict = {**ts_queries.ORACLES}
