@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessaly.plans import cs_queries, ts_queries
+from tessaly.plans import cs_queries, engine_queries, ts_queries
 
-QUERIES: dict = {**ts_queries.QUERIES, **cs_queries.QUERIES}
-ORACLES: dict = {**ts_queries.ORACLES, **cs_queries.ORACLES}
+QUERIES: dict = {**ts_queries.QUERIES, **cs_queries.QUERIES, **engine_queries.QUERIES}
+ORACLES: dict = {**ts_queries.ORACLES, **cs_queries.ORACLES, **engine_queries.ORACLES}
