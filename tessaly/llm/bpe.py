@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -311,7 +312,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 def decode_column(ids: Column, ranks_path: str) -> Column:
     """The text of an array of ids, as a column."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
