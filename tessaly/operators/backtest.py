@@ -43,11 +43,11 @@ def ic_decay(rows: DataFrame, factor: str, label: str, horizons: Sequence[int])
     """Mean Pearson IC by horizon: the one-day label of h - 1 dates later."""
     order = Window.partitionBy(CODE).orderBy(DATE)
     later = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(F.col(label), h - 1).over(order).alias("later")) for h in horizons])
-    lagged = rows.select(DATE, CODE, F.col(factor), later.alias("all")).select(DATE, CODE, F.col(factor), F.explode("all").alias("x"))
-    both = finite(F.col(factor)).isNotNull() & finite(F.col("x.later")).isNotNull()
-    a, b = F.when(both, F.col(factor)), F.when(both, F.col("x.later"))
+    lagged = rows.select(DATE, CODE, F.col(factor), later.alias("all")).select(DATE, CODE, F.col(factor), F.explode("all").alias("_h"))
+    both = finite(F.col(factor)).isNotNull() & finite(F.col("_h.later")).isNotNull()
+    a, b = F.when(both, F.col(factor)), F.when(both, F.col("_h.later"))
     ic = F.when((F.count(a) >= 2) & (F.var_pop(a) > EPS) & (F.var_pop(b) > EPS), F.covar_pop(a, b) / F.sqrt(F.var_pop(a)) / F.sqrt(F.var_pop(b)))
-    return lagged.groupBy(F.col("x.horizon").alias("horizon"), DATE).agg(ic.alias("ic")).groupBy("horizon").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("dates"))
+    return lagged.groupBy(F.col("_h.horizon").alias("horizon"), DATE).agg(ic.alias("ic")).groupBy("horizon").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("dates"))
 
 
 def weighted(rows: DataFrame, factor: str) -> DataFrame:
