@@ -12,12 +12,14 @@ from tessaly.plans.ts_queries import KEYS, rounded
 
 D = Cross()
 G = D.by("grp")
-x, y, z = F.col("x"), F.col("y"), F.col("z")
 
 
-def _query(**columns):
+def _query(columns):
+    """A query of the columns that a function of x, y and z makes; columns need a session, so none is made on import."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return trade_panel(spark, sf_dir).select(*KEYS, *[rounded(c).alias(name) for name, c in columns.items()])
+        panel = trade_panel(spark, sf_dir)
+        return panel.select(*KEYS, *[rounded(c).alias(name) for name, c in columns(*map(F.col, "xyz")).items()])
 
     return run
 
@@ -43,15 +45,16 @@ def _pct(value: str, keys: str = "trade_date", extra: str = "", order: str = "as
 
 def by_side(middle):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = F.col("x")
         panel = trade_panel(spark, sf_dir).withColumn("mean", F.round(D.mean(x), 9)).withColumn("median", F.round(D.median(x), 9))  # sums differ in the last bits between engines
-        return panel.select(*KEYS, *[rounded(c).alias(n) for n, c in middle.items()])
+        return panel.select(*KEYS, *[rounded(c).alias(n) for n, c in middle(x).items()])
 
     return run
 
 
 def neutralised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted regression residuals on two regressors, plain and within groups, in closed form."""
-    panel = trade_panel(spark, sf_dir).withColumn("x2", x).withColumn("z2", z)
+    panel = trade_panel(spark, sf_dir).withColumn("x2", F.col("x")).withColumn("z2", F.col("z"))
     plain = residualise(panel, "y", ["x2", "z2"], out="resid")
     both = residualise(plain, "y", ["x2", "z2"], group="grp", weight="w", out="resid_by_group")
     return both.select(*KEYS, rounded(F.col("resid")).alias("resid"), rounded(F.col("resid_by_group")).alias("resid_by_group"))
@@ -61,21 +64,21 @@ def size_sector_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One regressor within groups, then missing values filled with 0 where the size is there and the group has a residual."""
     panel = residualise(trade_panel(spark, sf_dir), "y", ["x"], group="grp", out="resid")
     any_resid = F.count("resid").over(G.rows)
-    usable = F.col("grp").isNotNull() & (F.col("grp") != "") & x.isNotNull() & (any_resid > 0)
+    usable = F.col("grp").isNotNull() & (F.col("grp") != "") & F.col("x").isNotNull() & (any_resid > 0)
     return panel.select(*KEYS, rounded(F.col("resid")).alias("resid"), rounded(F.coalesce("resid", F.when(usable, F.lit(0.0)))).alias("resid_filled"))
 
 
 QUERIES = {
-    "cs_aggregates": _query(cs_sum=D.sum(x), cs_mean=D.mean(x), cs_max=D.max(x), cs_min=D.min(x), cs_std_dev=D.std_dev(x), cs_median=D.median(x)),
-    "cs_centre": _query(cs_demean=D.demean(x), cs_demean_abs=D.demean_abs(x), cs_demean_by_group=G.demean(x), cs_neutralize=G.neutralize(x), cs_demedian_by_group=G.demedian(x), cs_dequantile_by_group=G.dequantile(x, 0.3)),
-    "cs_fill": _query(cs_fill_mean_by_group=G.fill_mean(x), cs_fill_max_by_group=G.fill_max(x), cs_fill_min_by_group=G.fill_min(x), cs_fill_median_by_group=G.fill_median(x), cs_fill_quantile_by_group=G.fill_quantile(x, 0.3)),
-    "cs_scales": _query(cs_minmax_scale=D.minmax_scale(x), cs_scale=D.scale(x), cs_zscore=D.zscore(x), cs_zscore_abs=D.zscore_abs(x), cs_zscore_by_group=G.zscore(x), cs_nonnegative=D.nonnegative(x), cs_nonpositive=D.nonpositive(x)),
-    "cs_winsorize": _query(cs_winsorize_quantile=D.winsorize_quantile(x, 0.05, 0.9), cs_winsorize=D.winsorize(x, 0.8), cs_winsorize95=D.winsorize95(x)),
-    "cs_ranks": _query(cs_rank=D.rank(x), cs_rank_desc=D.rank(x, False), cs_pctrank=D.pctrank(x), cs_pctrank_by_group=G.pctrank(x), cs_rank_by_sign=D.rank_by_sign(x - 0.5)),
-    "cs_rank_sides": by_side({"cs_rank_by_meanside": D.rank_by_side(x, F.col("mean")), "cs_rank_by_medianside": D.rank_by_side(x, F.col("median"))}),
-    "cs_rank_pairs": _query(cs_rank_y_add_x=D.rank_y_add_x(y, x), cs_rank_y_sub_x=D.rank_y_sub_x(y, x), cs_rank_y_mul_x=D.rank_y_mul_x(y, x), cs_rank_y_div_x=D.rank_y_div_x(y, x)),
-    "cs_regression": _query(cs_regression_residual=D.regression_residual(y, x), cs_regression_residual_by_group=G.regression_residual(y, x)),
-    "cs_gaussian_rank": _query(gaussian_rank=D.gaussian_rank(x)),
+    "cs_aggregates": _query(lambda x, y, z: dict(cs_sum=D.sum(x), cs_mean=D.mean(x), cs_max=D.max(x), cs_min=D.min(x), cs_std_dev=D.std_dev(x), cs_median=D.median(x))),
+    "cs_centre": _query(lambda x, y, z: dict(cs_demean=D.demean(x), cs_demean_abs=D.demean_abs(x), cs_demean_by_group=G.demean(x), cs_neutralize=G.neutralize(x), cs_demedian_by_group=G.demedian(x), cs_dequantile_by_group=G.dequantile(x, 0.3))),
+    "cs_fill": _query(lambda x, y, z: dict(cs_fill_mean_by_group=G.fill_mean(x), cs_fill_max_by_group=G.fill_max(x), cs_fill_min_by_group=G.fill_min(x), cs_fill_median_by_group=G.fill_median(x), cs_fill_quantile_by_group=G.fill_quantile(x, 0.3))),
+    "cs_scales": _query(lambda x, y, z: dict(cs_minmax_scale=D.minmax_scale(x), cs_scale=D.scale(x), cs_zscore=D.zscore(x), cs_zscore_abs=D.zscore_abs(x), cs_zscore_by_group=G.zscore(x), cs_nonnegative=D.nonnegative(x), cs_nonpositive=D.nonpositive(x))),
+    "cs_winsorize": _query(lambda x, y, z: dict(cs_winsorize_quantile=D.winsorize_quantile(x, 0.05, 0.9), cs_winsorize=D.winsorize(x, 0.8), cs_winsorize95=D.winsorize95(x))),
+    "cs_ranks": _query(lambda x, y, z: dict(cs_rank=D.rank(x), cs_rank_desc=D.rank(x, False), cs_pctrank=D.pctrank(x), cs_pctrank_by_group=G.pctrank(x), cs_rank_by_sign=D.rank_by_sign(x - 0.5))),
+    "cs_rank_sides": by_side(lambda x: {"cs_rank_by_meanside": D.rank_by_side(x, F.col("mean")), "cs_rank_by_medianside": D.rank_by_side(x, F.col("median"))}),
+    "cs_rank_pairs": _query(lambda x, y, z: dict(cs_rank_y_add_x=D.rank_y_add_x(y, x), cs_rank_y_sub_x=D.rank_y_sub_x(y, x), cs_rank_y_mul_x=D.rank_y_mul_x(y, x), cs_rank_y_div_x=D.rank_y_div_x(y, x))),
+    "cs_regression": _query(lambda x, y, z: dict(cs_regression_residual=D.regression_residual(y, x), cs_regression_residual_by_group=G.regression_residual(y, x))),
+    "cs_gaussian_rank": _query(lambda x, y, z: dict(gaussian_rank=D.gaussian_rank(x))),
     "cs_neutralize_regression": neutralised,
     "cs_size_sector_neutral": size_sector_neutral,
 }

@@ -57,31 +57,29 @@ def compute(panel: DataFrame, specs: Sequence[Spec], start: int | None = None, e
     return out if end is None else out.filter(F.col("trade_date") <= end)
 
 
-_x, _z = F.col("x"), F.col("z")
-
 
 @factor("momentum_6", ["z"], 6, ["price"])
 def _momentum():
-    return Rolling(7, 1).pctchg(_z, 6)
+    return Rolling(7, 1).pctchg(F.col("z"), 6)
 
 
 @factor("volatility_6", ["z"], 6, ["price", "risk"])
 def _volatility():
-    return Rolling(6, 3).std_dev(_z)
+    return Rolling(6, 3).std_dev(F.col("z"))
 
 
 @factor("turnover_6", ["x"], 6, ["volume"])
 def _turnover():
-    return F.log1p(Rolling(6, 3).sum(_x))
+    return F.log1p(Rolling(6, 3).sum(F.col("x")))
 
 
 @factor("price_volume_corr_12", ["x", "z"], 12, ["price", "volume"])
 def _price_volume():
-    return Rolling(12, 6).corr(_x, _z)
+    return Rolling(12, 6).corr(F.col("x"), F.col("z"))
 
 
 @factor("liquidity_sum_3", ["x"], 3, ["volume", "risk"])
 def _liquidity():
     """The log of a full frame's sum."""
-    total = Rolling(3, 3).sum(_x)
+    total = Rolling(3, 3).sum(F.col("x"))
     return F.when(total > 0, F.log(total))

@@ -18,9 +18,12 @@ def rounded(c):
     return F.round(c, 6) + F.lit(0.0)
 
 
-def _query(**columns):
+def _query(columns):
+    """A query of the columns that a function of x, y and z makes; columns need a session, so none is made on import."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return trade_panel(spark, sf_dir).select(*KEYS, *[rounded(c).alias(name) for name, c in columns.items()])
+        panel = trade_panel(spark, sf_dir)
+        return panel.select(*KEYS, *[rounded(c).alias(name) for name, c in columns(*map(F.col, "xyz")).items()])
 
     return run
 
@@ -90,24 +93,21 @@ def ts_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ewm(panel, "x", 4, M).select(*KEYS, rounded(F.col("ewm")).alias("ewm"))
 
 
-x, y, z = F.col("x"), F.col("y"), F.col("z")
-_regression = R.ew_regression(y, x, HALF_LIFE)
-
 QUERIES = {
-    "ts_moments": _query(ts_sum=R.sum(x), ts_mean=R.mean(x), ts_max=R.max(x), ts_min=R.min(x), ts_prod=R.prod(x), ts_std_dev=R.std_dev(x), ts_variance=R.variance(x)),
-    "ts_quantiles": _query(ts_median=R.median(x), ts_quantile=R.quantile(x, 0.2), ts_diff_median=R.diff_median(x)),
-    "ts_shape": _query(ts_skew=R.skew(x), ts_kurt=R.kurt(x), ts_central_moment=R.central_moment(x, 3), ts_entropy=R.entropy(x)),
-    "ts_ratios": _query(ts_cv=R.cv(x), ts_ir=R.ir(x), ts_zscore=R.zscore(x)),
-    "ts_minmax": _query(ts_minmax_scale=R.minmax_scale(x), ts_minmax_cps=R.minmax_cps(x), ts_minmax_diff=R.minmax_diff(x), ts_diff_avg=R.diff_avg(x), ts_diff_max=R.diff_max(x), ts_diff_min=R.diff_min(x)),
-    "ts_shifts": _query(ts_delay=R.delay(x, 2), ts_diff=R.diff(x, 2), ts_pctchg=R.pctchg(x, 2), ts_pctchg_abs=R.pctchg_abs(x, 2)),
-    "ts_places": _query(ts_argmax=R.argmax(x), ts_argmin=R.argmin(x), ts_decay_linear=R.decay_linear(x), ts_rank=R.rank(x), ts_pctrank=R.pctrank(x)),
-    "ts_exponential": _query(ts_ew_sum=R.ew_sum(x, HALF_LIFE), ts_ew_std_dev=R.ew_std_dev(x, HALF_LIFE), ew_alpha=_regression["alpha"], ew_beta=_regression["beta"], ew_residual_sigma=_regression["residual_sigma"]),
+    "ts_moments": _query(lambda x, y, z: dict(ts_sum=R.sum(x), ts_mean=R.mean(x), ts_max=R.max(x), ts_min=R.min(x), ts_prod=R.prod(x), ts_std_dev=R.std_dev(x), ts_variance=R.variance(x))),
+    "ts_quantiles": _query(lambda x, y, z: dict(ts_median=R.median(x), ts_quantile=R.quantile(x, 0.2), ts_diff_median=R.diff_median(x))),
+    "ts_shape": _query(lambda x, y, z: dict(ts_skew=R.skew(x), ts_kurt=R.kurt(x), ts_central_moment=R.central_moment(x, 3), ts_entropy=R.entropy(x))),
+    "ts_ratios": _query(lambda x, y, z: dict(ts_cv=R.cv(x), ts_ir=R.ir(x), ts_zscore=R.zscore(x))),
+    "ts_minmax": _query(lambda x, y, z: dict(ts_minmax_scale=R.minmax_scale(x), ts_minmax_cps=R.minmax_cps(x), ts_minmax_diff=R.minmax_diff(x), ts_diff_avg=R.diff_avg(x), ts_diff_max=R.diff_max(x), ts_diff_min=R.diff_min(x))),
+    "ts_shifts": _query(lambda x, y, z: dict(ts_delay=R.delay(x, 2), ts_diff=R.diff(x, 2), ts_pctchg=R.pctchg(x, 2), ts_pctchg_abs=R.pctchg_abs(x, 2))),
+    "ts_places": _query(lambda x, y, z: dict(ts_argmax=R.argmax(x), ts_argmin=R.argmin(x), ts_decay_linear=R.decay_linear(x), ts_rank=R.rank(x), ts_pctrank=R.pctrank(x))),
+    "ts_exponential": _query(lambda x, y, z: dict(ts_ew_sum=R.ew_sum(x, HALF_LIFE), ts_ew_std_dev=R.ew_std_dev(x, HALF_LIFE), **{f"ew_{f}": R.ew_regression(y, x, HALF_LIFE)[f] for f in ("alpha", "beta", "residual_sigma")})),
     "ts_ewm": ts_ewm,
-    "ts_pairs": _query(ts_covariance=R.covariance(x, y), ts_corr=R.corr(x, y), ts_regression=R.regression(y, x)),
-    "ts_co_moments": _query(ts_coskew_yxx=R.coskew_yxx(y, x), ts_co_kurt_yxxx=R.co_kurt_yxxx(y, x), ts_co_kurt_yyxx=R.co_kurt_yyxx(y, x)),
-    "ts_partial_corr": _query(ts_partial_corr_xy_z=R.partial_corr_xy_z(x, y, z)),
-    "ts_rankcorr": _query(ts_rankcorr=R.rankcorr(x, y)),
-    "ts_theilsen": _query(ts_theilsen=R.theilsen(y, x)),
+    "ts_pairs": _query(lambda x, y, z: dict(ts_covariance=R.covariance(x, y), ts_corr=R.corr(x, y), ts_regression=R.regression(y, x))),
+    "ts_co_moments": _query(lambda x, y, z: dict(ts_coskew_yxx=R.coskew_yxx(y, x), ts_co_kurt_yxxx=R.co_kurt_yxxx(y, x), ts_co_kurt_yyxx=R.co_kurt_yyxx(y, x))),
+    "ts_partial_corr": _query(lambda x, y, z: dict(ts_partial_corr_xy_z=R.partial_corr_xy_z(x, y, z))),
+    "ts_rankcorr": _query(lambda x, y, z: dict(ts_rankcorr=R.rankcorr(x, y))),
+    "ts_theilsen": _query(lambda x, y, z: dict(ts_theilsen=R.theilsen(y, x))),
 }
 
 ORACLES = {
