@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
 import uuid
 import zlib
 from collections.abc import Iterable
@@ -37,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, ensure_checkpoint_dir, mix64, stored
+from .word_tokens import MARKS, WordBpe
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
 HASH_BYTES = 16
@@ -72,21 +72,45 @@ class WordIds:
 
     def __init__(self, path: str, keep: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from .word_tokens import WordBpe
-
         self.model = WordBpe(path, tables=False)
         self.library = self.model.library
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.closing = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.closing[i] = token.endswith(self.model.mark)
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
     def _learn(self, words: list[str]) -> None:
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        pack = self.type.char
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, found in zip(part, encode(part, add_special_tokens=False), strict=True):
-                self.known[word] = struct.pack(f"<{len(found.ids)}{pack}", *found.ids)
+        """Ids of words: letters with marks behind them from the ids of both, others one by one."""
+        split = [(w, w.rstrip(MARKS)) for w in words]
+        plain = [(w, core, w[len(core) :]) for w, core in split if core.isalpha()]
+        known = self.known
+        self._learn_letters([c for c in {core for _, core, _ in plain} if c not in known])
+        self._learn_apart([t for t in {tail for _, _, tail in plain} if t and t not in known])
+        for word, core, tail in plain:
+            if tail:
+                known[word] = known[core] + known[tail]
+        self._learn_apart([w for w, core in split if not core.isalpha()])
+
+    def _learn_apart(self, words: list[str]) -> None:
+        for word in words:
+            self.known[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Many words of letters in one call of the library: each is one piece, and a piece's last token ends a word."""
+        closing, known = self.closing, self.known
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.type)
+            ends = (np.flatnonzero(closing[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                self._learn_apart(part)
+                continue
+            raw, width, begin = ids.tobytes(), self.type.itemsize, 0
+            for word, end in zip(part, ends, strict=True):
+                known[word] = raw[begin * width : end * width]
+                begin = end
 
     def batch(self, texts: Iterable[str]) -> list[bytes]:
         split = [t.lower().split() if self.model.is_plain(t) else t for t in texts]
