@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .common import Memo
 
 #: Texts of these alone lower-case letter by letter, don't compose, and have no white space but " \t\n\r".
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
+#: Marks that a word may end in; an apostrophe could begin a piece with the letters before it, so it isn't one.
+MARKS = ".,;:!?|*#%&$"
 _FAR = 1 << 60
 
 
@@ -67,7 +70,9 @@ class WordBpe:
         self.made = Memo(lambda token: self.merged(token) == [token], 200_000)
         self._grow()
         self.fits = Memo(self._fits, 500_000)
-        self.words = Memo(self._word, 300_000)
+        self.words = Memo(self._word, 50_000)
+        self.totals = Memo(self._word_total, 800_000)
+        self.totals_of_marks = Memo(lambda marks: self._total(marks.encode()), 10_000)
 
     def is_plain(self, text: str) -> bool:
         """Whether the words of the lower-cased text, apart, are encoded as the library encodes the text."""
@@ -147,6 +152,32 @@ class WordBpe:
                     whole[end] = count
         return [whole[e] for e in range(n + 1) if e == n or data[e] & 0xC0 != 0x80] if wide else whole
 
+    def _total(self, data: bytes) -> int:
+        """Tokens of a whole piece: the same pass, which keeps the inside counts and closes the word at its end alone."""
+        n, child, inside, fits, closed = len(data), self.child.get, self.inside, self.fits, 0
+        last, counts = [-1] * (n + 1), [0] * (n + 1)
+        for begin in range(n):
+            before, node, end = (last[begin] + 1) << 20, 0, begin
+            for byte in data[begin:]:
+                if (node := child(node << 8 | byte)) is None:
+                    break
+                end += 1
+                if last[end] < 0 and (token := inside[node]) >= 0 and fits[before | token]:
+                    last[end], counts[end] = token, counts[begin] + 1
+            else:
+                if not closed and (token := self.ending[node]) >= 0 and fits[before | token]:
+                    closed = counts[begin] + 1
+        return closed
+
+    def _word_total(self, word: str) -> int:
+        """Tokens of one plain, lower-case word; letters are remembered apart from the marks behind them."""
+        core = word.rstrip(MARKS)
+        if not core.isalpha():
+            return sum([self._total(piece.encode()) for piece in self.pieces(word)])
+        if core == word:
+            return self._total(core.encode())
+        return self.totals[core] + self.totals_of_marks[word[len(core) :]]
+
     def _word(self, word: str) -> tuple[int, ...]:
         """Token counts of the prefixes of one plain, lower-case word, by code point."""
         out, base = [0], 0
@@ -172,14 +203,19 @@ class WordBpe:
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         if self.is_plain(text):
-            words = self.words
-            return sum([words[w][-1] for w in text.lower().split()])
+            return sum(map(self.totals.__getitem__, text.lower().split()))
         return sum(self.slow_words(text))
 
     def table(self, text: str) -> "PrefixTable":
         return PrefixTable(self, text)
 
 
+@lru_cache(maxsize=2)
+def shared_model(path: str) -> WordBpe:
+    """The model of a file, made once in a Python worker and kept, with the words it remembers, for the worker's next tasks."""
+    return WordBpe(path)
+
+
 class PrefixTable:
     """The token count of each prefix of one plain text: running sums at word ends and the words' own tables."""
 
@@ -230,7 +266,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model = WordBpe(tokenizer_path)
+        model = shared_model(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = [*map(model.count, texts)]
