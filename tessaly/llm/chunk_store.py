@@ -29,6 +29,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def cuts(ids: np.ndarray) -> list[int]:
 class WordIds:
     """A text's ids as bytes, by the tokenizers library: over remembered words where words are independent, else over the whole text."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = WordBpe(path, tables=False)
         self.library = self.model.library
@@ -125,11 +126,17 @@ class WordIds:
         return [b"".join(map(get, words)) if isinstance(words, list) else np.array(self.library.encode(words, add_special_tokens=False).ids, self.type).tobytes() for words in split]
 
 
+@lru_cache(maxsize=2)
+def shared_ids(path: str) -> WordIds:
+    """The encoder of a file, made once in a Python worker and kept, with the words it remembers, for the worker's next tasks."""
+    return WordIds(path)
+
+
 def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = WordIds(tokenizer_path)
+        encoder = shared_ids(tokenizer_path)
         end = np.array([end_id], encoder.type).tobytes()
         width = encoder.type.itemsize
         seen: set[bytes] = set()
