@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -64,7 +65,7 @@ class Transducer:
 
     NODE = 20  # bits of a trie node
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_pairs: int = 250_000):
         self.ranks, self.tokens = ranks, [*ranks]
         self.ids = [*ranks.values()]
         self.lengths = [*map(len, self.tokens)]
@@ -260,7 +261,7 @@ def pieces_pattern(pattern: str):
 class Encoder:
     """Whole texts in, ids out: the pattern cuts pieces, short pieces are remembered up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 500_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000, longest: int = 48):
         self.transducer, self.find, self.longest = Transducer(ranks), pieces_pattern(pattern).findall, longest
         self.known = Memo(lambda piece: (*self.transducer.encode(piece.encode()),), keep)
 
@@ -272,6 +273,13 @@ class Encoder:
         return [*chain.from_iterable(map(self.known.__getitem__, pieces))]
 
 
+@lru_cache(maxsize=2)
+def shared_coders(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder, dict[int, str]]:
+    """Both ways and the ids as text, made once in a Python worker and kept, with what they remember, for its next tasks."""
+    ranks = load_ranks(ranks_path)
+    return Encoder(ranks, pattern), Decoder(ranks), {i: str(i) for i in ranks.values()}
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode it again, and return digests of both.
 
@@ -282,9 +290,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        ranks = load_ranks(ranks_path)
-        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
-        names = {i: str(i) for i in ranks.values()}
+        encoder, decoder, names = shared_coders(ranks_path, pattern)
         for batch in batches:
             n, digests, decoded, same, kept = [], [], [], [], []
             for text in batch.column("text").to_pylist():
