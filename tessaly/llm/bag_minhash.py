@@ -31,7 +31,7 @@ ties go to the smaller id; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ from .common import Memo, mix64, stored, words_of
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 THRESHOLD = 0.8
+#: Bits of the bitmap that sieves texts before they are joined: 8 MB at any size of the input.
+SIEVE_BITS = 1 << 26
 _U = np.uint64
 _UNIT = float(1 << 30)  # one mean arrival of a process of width 1
 _NEVER = np.int64(1 << 62)
@@ -67,7 +69,9 @@ def shingles(texts: list[str | None], words: Memo) -> tuple[np.ndarray, np.ndarr
     return out, counts, fingerprints
 
 
+@lru_cache(maxsize=1)
 def word_hashes() -> Memo:
+    """Hashes of words, kept in a Python worker for its next tasks."""
     return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
 
 
@@ -165,6 +169,32 @@ def _bagged(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, bag binary")
 
 
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of `docs` that may be in `ids`, found without moving a text.
+
+    A bitmap of SIEVE_BITS bits, whatever the size of the input, holds a hash
+    of each wanted id; rows that aren't in it surely aren't wanted.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1  # noqa: E731 - Spark's first bitmap begins with value 1
+    marks = ids.select(place("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    size = 4096  # bytes of one of Spark's bitmaps
+    sieve = np.zeros(SIEVE_BITS // 8 + size, np.uint8)
+    for r in marks:
+        sieve[(r.bucket - 1) * size : r.bucket * size] |= np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False) - 1
+            bucket, position = h // (8 * size), h % (8 * size)
+            held = bits[bucket * size + position // 8] >> (position % 8).astype(np.uint8) & 1
+            yield batch.select(["id", "text"]).filter(pa.array(held.astype(bool)))
+
+    return docs.select("id", "text", place("id").alias("h")).mapInArrow(run, f"id {kind}, text string")
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """How many elements two sorted multisets share."""
     both = np.concatenate([a, b])
@@ -237,11 +267,12 @@ def _rest(buckets: DataFrame, found: DataFrame, bagged_of, done: DataFrame, thre
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     open_ = stored(placed.join(mixed, "bucket").select("id", "component").distinct())
     bagged = bagged_of(open_.select("id"))
-    elements = bagged.select("id", (F.octet_length("bag") / 4).cast("int").alias("n"), F.explode(_elements()).alias("element"))
-    rarity = elements.groupBy("element").agg(F.count(F.lit(1)).alias("texts"))
-    order = Window.partitionBy("id").orderBy("texts", "element")
-    ranked = elements.join(rarity, "element").withColumn("place", F.row_number().over(order))
-    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("texts > 1").select("id", "n", "element", "place")
+    # elements of one text only are as rare as can be and come first; they find no partner, so their number is all that counts
+    rarity = F.count(F.lit(1)).over(Window.partitionBy("element"))
+    held = _exploded(bagged).withColumn("texts", rarity).filter("texts > 1")
+    own = Window.partitionBy("id")
+    ranked = held.withColumn("place", F.row_number().over(own.orderBy("texts", "element")) + F.col("n") - F.count(F.lit(1)).over(own))
+    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "element", "place")
     prefix = stored(prefix.join(open_, "id"))
     shared = prefix.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("element")
     sides = prefix.join(shared, "element")
@@ -253,9 +284,20 @@ def _rest(buckets: DataFrame, found: DataFrame, bagged_of, done: DataFrame, thre
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
-def _elements():
-    """The 32-bit elements of a bag, as hexadecimal strings of 8 digits."""
-    return F.filter(F.split(F.regexp_replace(F.hex("bag"), "(.{8})", "$1 "), " "), lambda x: x != "")
+def _exploded(bagged: DataFrame) -> DataFrame:
+    """(id, n, element) of bags, an element a row."""
+    kind = bagged.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                own = [np.frombuffer(x, "<i4") for x in part.column("bag").to_pylist()]
+                n = np.array([*map(len, own)], np.int32)
+                rows = pa.array(np.repeat(np.arange(len(own)), n))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own) if len(own) else np.zeros(0, np.int32))], ["id", "n", "element"])
+
+    return bagged.select("id", "bag").mapInArrow(run, f"id {kind}, n int, element int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -272,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(together.select("id", "bucket"))
 
     def bagged_of(ids: DataFrame) -> DataFrame:
-        return stored(_bagged(usable.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])))
+        wanted = stored(ids.select("id").distinct())
+        return stored(_bagged(_sieved(usable, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])))
 
     bagged = bagged_of(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
