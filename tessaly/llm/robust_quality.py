@@ -10,8 +10,9 @@ squared distance passes the chi-square quantile of ``1 - tail``.
 Nothing gathers a group: moments are partial sums per task, and the distance
 that parts the closest share is found by counting distances in bins of 2 %
 width, so it is exact to a bin, the same on each run, and bounded in memory.
-Groups with fewer than ``least`` usable rows share an estimate per language,
-and languages with fewer share one; with fewer still, the base rules decide alone.
+A group with fewer than ``least`` usable rows is judged by the estimate over all
+usable rows of its language, and where these are fewer too, by that over all of
+the table; with fewer still, the base rules decide alone.
 Distances use an explicit Cholesky factor in plain column arithmetic.
 
 Defined results: a null text has no words, so the base rules reject it; null
@@ -114,19 +115,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds `g` and `level`: the group whose estimate judges a row, or null."""
+    """Adds `g`, the group whose estimate judges a row, or null, and `feeds`, the groups whose estimates its source's usable rows are part of."""
     usable = F.col("usable").cast("long")
     counts = rows.groupBy("lang", "source").agg(F.sum(usable).alias("n"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    own = F.when(F.col("n") >= least, F.to_json(F.array(name("lang"), name("source"))))
-    rest = F.col("n") * (F.col("n") < least).cast("long")
     by_lang = Window.partitionBy("lang")
-    named = counts.withColumn("lang_rest", F.sum(rest).over(by_lang)).withColumn("own", own)
-    named = named.withColumn("of_lang", F.when(F.col("lang_rest") >= least, F.to_json(F.array(name("lang")))))
-    # a few rows a language that are left over everywhere
-    left = F.when(F.col("own").isNull() & F.col("of_lang").isNull(), F.col("n"))
-    total = named.agg(F.coalesce(F.sum(left), F.lit(0)).alias("left"))
-    groups = stored(named.crossJoin(F.broadcast(total)).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.coalesce("own", "of_lang", F.when(F.col("left") >= least, F.lit("[]"))).alias("g")))
+    named = counts.withColumn("own", F.when(F.col("n") >= least, F.to_json(F.array(name("lang"), name("source")))))
+    named = named.withColumn("lang_n", F.sum("n").over(by_lang)).withColumn("lang_asked", F.max(F.col("own").isNull()).over(by_lang))
+    named = named.withColumn("of_lang", F.when(F.col("lang_asked") & (F.col("lang_n") >= least), F.to_json(F.array(name("lang")))))
+    # languages with too few rows in all their sources ask for the estimate over the table
+    asked = F.max(F.col("own").isNull() & F.col("of_lang").isNull())
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), F.coalesce(asked, F.lit(False)).alias("all_asked"))
+    of_all = F.when(F.col("all_asked") & (F.col("all_n") >= least), F.lit("[]"))
+    named = named.crossJoin(F.broadcast(total)).withColumn("of_all", of_all)
+    groups = stored(named.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.coalesce("own", "of_lang", "of_all").alias("g"), F.array_compact(F.array("own", "of_lang", "of_all")).alias("feeds")))
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
 
 
@@ -175,7 +177,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     p = len(STATISTICS)
     rows = stored(_grouped(stored(statistics(docs, id_col, text_col, lang_col, source_col).withColumn("usable", ~F.col("base_failed"))), least))
-    core = rows.filter(F.col("usable") & F.col("g").isNotNull()).select("g", *STATISTICS)
+    core = rows.filter("usable").select(F.explode("feeds").alias("g"), *STATISTICS)
     moments = _moments(core, 1.0)
     inflate = share / chi2_cdf(chi2_quantile(share, p), p + 2)
     for _ in range(steps):

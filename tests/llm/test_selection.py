@@ -51,6 +51,28 @@ def test_quality_counts_and_outliers(spark):
     assert robust_quality.judge(docs.limit(0)).count() == 0
 
 
+def test_small_groups_are_judged_by_their_language_or_the_table(spark):
+    rng = random.Random(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+
+    def plain():
+        return " ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(80))
+
+    junk = " ".join(f"W{k}!!$$%%" for k in range(90))
+    rows = [(i, plain(), "en", "large") for i in range(150)] + [(200 + i, plain(), "en", "small") for i in range(5)] + [(300 + i, plain(), "de", None) for i in range(3)] + [(400, plain(), None, "s")]
+    bad = [(901, junk, "en", "small"), (902, junk, "de", None), (903, junk, None, "s")]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string").repartition(3)
+    out = robust_quality.judge(docs).collect()
+    assert len(out) == len(rows) + len(bad) and all(r.d2 is not None for r in out)
+    assert {r.doc_id for r in out if r.kept} == {i for i, *_ in rows}
+    # those that judge themselves are judged as if small groups weren't there
+    alone = {r.doc_id: r.d2 for r in robust_quality.judge(docs.filter("source = 'large'")).collect()}
+    assert {r.doc_id: r.d2 for r in out if r.doc_id < 150} == pytest.approx(alone)
+    # where the whole table has too few rows nothing can be judged
+    few = robust_quality.judge(docs.filter("source is null or source <> 'large'")).collect()
+    assert all(r.d2 is None and r.kept for r in few)
+
+
 def test_concentration_steps_ignore_outliers(spark):
     rng = np.random.default_rng(0)
     rows = [("g", *map(float, r)) for r in np.concatenate([rng.normal(0, 1, (300, 4)), rng.normal(30, 1, (60, 4))])]
