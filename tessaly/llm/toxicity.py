@@ -4,7 +4,8 @@ A word is itself and its character n-grams, hashed into rows of one embedding
 table; a text is the mean of all rows of all its words; two softmax weights
 vectors read that mean. Since both are linear, a word adds a fixed amount to the
 text's logit, so scoring remembers words up to a bound and never meets the
-table again. Misspellings share most n-grams with the words they come from.
+table again. A long word, as in text without spaces, is read to its end in
+pieces and isn't remembered. Misspellings share most n-grams with the words they come from.
 
 Training is on the driver, over a sample bounded by `max_rows` rows and
 `max_chars` characters a row, chosen by hash of the id among labelled rows that
@@ -31,6 +32,8 @@ from .common import Memo
 
 #: Characters that a word keeps: letters, digits and what misspellings put in their place.
 _EDGE = ".,;:!?\"'()[]{}|*#%&$<>-_"
+#: Words of more characters than `_LONG` aren't remembered; they are read `_PIECE` characters at a time.
+_LONG, _PIECE = 62, 4_096
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -39,10 +42,8 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 
 
 def subwords(word: str, low: int, high: int) -> list[str]:
-    """The word, with its borders marked, and its n-grams of `low` to `high` characters; a long word's are those of its first and last 32."""
+    """The word, with its borders marked, and its n-grams of `low` to `high` characters."""
     marked = f"<{word}>"
-    if len(marked) > 64:
-        return [marked[:32], *subwords(marked[1:32], low, high), *subwords(marked[-32:-1], low, high)]
     return [marked, *(marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1))]
 
 
@@ -53,8 +54,22 @@ class Bag:
         self.buckets, self.low, self.high = buckets, low, high
         self.rows = Memo(self._rows, 200_000)
 
+    def _hashed(self, parts: Iterable[str]) -> np.ndarray:
+        return np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) % self.buckets for s in parts], np.int32)
+
     def _rows(self, word: str) -> np.ndarray:
-        return np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) % self.buckets for s in subwords(word, self.low, self.high)], np.int32)
+        return self._hashed(subwords(word, self.low, self.high))
+
+    def pieces(self, word: str) -> Iterable[np.ndarray]:
+        """The rows of a word; those of a long one a bounded piece of it at a time, each n-gram with the piece that it starts in, and not remembered."""
+        if len(word) <= _LONG:
+            yield self.rows[word]
+            return
+        marked = f"<{word}>"
+        yield self._hashed([marked])
+        for at in range(0, len(marked), _PIECE):
+            piece = marked[at : at + _PIECE + self.high - 1]
+            yield self._hashed(piece[i : i + n] for n in range(self.low, self.high + 1) for i in range(min(_PIECE, len(piece) - n + 1)))
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -72,13 +87,16 @@ class Model:
         word = raw.strip(_EDGE)
         if not word:
             return (0.0, 0)
-        rows = self.bag.rows[word]
-        return (float(self.logit_rows[rows].sum(dtype=np.float64)), len(rows))
+        total, n = 0.0, 0
+        for rows in self.bag.pieces(word):
+            total += float(self.logit_rows[rows].sum(dtype=np.float64))
+            n += len(rows)
+        return (total, n)
 
     def score(self, text: str | None) -> float:
         total, n, word = 0.0, 0, self.word
         for raw in (text or "").lower().split():
-            a, b = word[raw]
+            a, b = word[raw] if len(raw) <= _LONG else self._word(raw)
             total += a
             n += b
         z = self.bias + (total / n if n else 0.0)
@@ -102,7 +120,7 @@ def train(texts: Iterable[str | None], labels: Iterable[int], buckets: int = 1 <
         return Model(bag, np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
     own, counts = [], []
     for text in texts:
-        rows = [bag.rows[w] for w in bag.words(text)]
+        rows = [r for w in bag.words(text) for r in bag.pieces(w)]
         found, n = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.int32), np.zeros(0))
         own.append(found.astype(np.int32))
         counts.append((scale * n / max(n.sum(), 1)).astype(np.float32))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -194,6 +195,35 @@ def test_toxicity_learns_misspellings(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, docs, marks.filter("toxic = 0")).collect()} == {0}
 
 
+def test_toxicity_reads_long_words_to_their_end(spark, monkeypatch):
+    bag = toxicity.Bag(1 << 18)
+    for length in (1, 62, 63, 200, 4_093, 4_094, 4_095, 4_096, 8_190, 9_000):
+        word = "".join(chr(0x4E00 + k % 5003) for k in range(length))
+        want = Counter(zlib.crc32(s.encode()) % bag.buckets for s in [f"<{word}>", *(f"<{word}>"[i : i + n] for n in (3, 4, 5) for i in range(length + 3 - n))])
+        assert Counter(np.concatenate([*bag.pieces(word)]).tolist()) == want
+    monkeypatch.setattr(toxicity, "_PIECE", 7)
+    word = "some_word" * 20
+    assert Counter(np.concatenate([*bag.pieces(word)]).tolist()) == Counter(bag._rows(word).tolist()) and word not in bag.rows
+    monkeypatch.undo()
+    rng = random.Random(12)
+    plain = "table chair window garden river stone cloud letter paper music".split()
+    rows, labels = [], []
+    for i in range(600):
+        w = [rng.choice(plain) for _ in range(40)]
+        if bad := i % 3 == 0:
+            for _ in range(3):
+                w[rng.randrange(40)] = rng.choice(["vilescum", "badscum"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    clean = "_".join(rng.choice(plain) for _ in range(32))
+    slur = clean[:90] + "_vilescum_" + clean[100:]
+    assert 180 < len(slur) == len(clean)
+    rows += [(2000, clean), (2001, slur)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, docs, marks).filter("doc_id >= 2000").collect()} == {2000: 0, 2001: 1}
+    assert [r.doc_id for r in toxicity.keep_clean(docs, docs, marks).filter("doc_id >= 2000").collect()] == [2000]
+
+
 def _true_classes(rows):
     bags, parent = {}, {}
     for i, text, *_ in rows:
