@@ -191,6 +191,13 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, *[rounded(F.col(s.id)).alias(s.id) for s in specs])
 
 
+def registered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All registered factors of all dates, from one panel."""
+    specs = registry.select()
+    out = registry.compute(trade_panel(spark, sf_dir), specs)
+    return out.select(*KEYS, *[rounded(F.col(s.id)).alias(s.id) for s in specs])
+
+
 def kernel_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.series_statistics(trade_panel(spark, sf_dir), "x")
 
@@ -229,7 +236,7 @@ QUERIES = {
     "factor_stats": stats, "factor_stats_summary": stats_summary, "bars_ohlc": event_bars, "join_asof": asof_prices, "join_interval": sectors, "join_point_in_time": disclosed, "join_shifted": shifted_labels,
     "trailing_quarters": trailing, "rebalance_dates": schedules, "date_functions": date_functions, "column_merge": column_merge, "missing_dates": missing_dates, "first_rows": first_rows, "top_names": top_names,
     "main_contract": main_contracts, "liquid_pool": liquid_pool, "strongest_peers": peers, "decayed_events": event_decay,
-    "date_transforms": transforms, "registered_factors": registered, "series_kernels": kernel_statistics, "strategy_replay": replayed, "stream_bars": windowed,
+    "date_transforms": transforms, "registered_factors": registered, "registered_factors_all": registered_all, "series_kernels": kernel_statistics, "strategy_replay": replayed, "stream_bars": windowed,
 }
 
 ORACLES = {
@@ -262,3 +269,5 @@ ORACLES = {
     "main_contract": None,
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
+#: The same SQL over all dates.
+ORACLES["registered_factors_all"] = ORACLES["registered_factors"].removesuffix(" and trade_date between 19960101 and 19961231")
