@@ -9,8 +9,16 @@ its prefixes. White space parts words for good, hence a text's table is its
 words' running sum plus the table of the word in which a prefix ends, and
 truncation or budget questions need no encoding.
 
-Words are remembered up to a bound. Texts outside Latin-1, with controls or with
-special strings take the library's own normaliser and word rule first.
+The pass runs over all words at once that some texts add to those remembered:
+the tables of all grow by one place at a time, as arrays. Words are remembered
+up to a bound. Texts outside Latin-1, with controls or with special strings are
+cut by the library's own normaliser and word rule; their pieces are counted by
+the same pass, and their tables map places in the text to places in the pieces.
+Only where a cut parts characters that compose, or a special string, is a piece
+read again up to the cut.
+
+A text of any length is read whole; one without spaces is one long piece, whose
+table takes time in proportion to its length.
 
 Defined results: null is the empty text, with no tokens; rows are independent,
 so repeated rows, null ids and extra columns change nothing; an empty table
@@ -21,10 +29,12 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +46,8 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
 #: Marks that a word may end in; an apostrophe could begin a piece with the letters before it, so it isn't one.
 MARKS = ".,;:!?|*#%&$"
 _FAR = 1 << 60
+#: Totals that are remembered, bits of the table of pairs, and bytes beyond which a piece is read alone.
+_KEEP, _PAIR_BITS, _LONG_PIECE = 800_000, 20, 48
 
 
 def byte_letters() -> list[str]:
@@ -71,8 +83,8 @@ class WordBpe:
         self._grow()
         self.fits = Memo(self._fits, 500_000)
         self.words = Memo(self._word, 50_000)
-        self.totals = Memo(self._word_total, 800_000)
-        self.totals_of_marks = Memo(lambda marks: self._total(marks.encode()), 10_000)
+        self.totals: dict[str | bytes, int] = {}
+        self._dense()
 
     def is_plain(self, text: str) -> bool:
         """Whether the words of the lower-cased text, apart, are encoded as the library encodes the text."""
@@ -158,25 +170,99 @@ class WordBpe:
         last, counts = [-1] * (n + 1), [0] * (n + 1)
         for begin in range(n):
             before, node, end = (last[begin] + 1) << 20, 0, begin
-            for byte in data[begin:]:
-                if (node := child(node << 8 | byte)) is None:
-                    break
+            while end < n and (node := child(node << 8 | data[end])) is not None:
                 end += 1
                 if last[end] < 0 and (token := inside[node]) >= 0 and fits[before | token]:
                     last[end], counts[end] = token, counts[begin] + 1
-            else:
-                if not closed and (token := self.ending[node]) >= 0 and fits[before | token]:
+                if end == n and not closed and (token := self.ending[node]) >= 0 and fits[before | token]:
                     closed = counts[begin] + 1
         return closed
 
-    def _word_total(self, word: str) -> int:
-        """Tokens of one plain, lower-case word; letters are remembered apart from the marks behind them."""
-        core = word.rstrip(MARKS)
-        if not core.isalpha():
-            return sum([self._total(piece.encode()) for piece in self.pieces(word)])
-        if core == word:
-            return self._total(core.encode())
-        return self.totals[core] + self.totals_of_marks[word[len(core) :]]
+    def _dense(self) -> None:
+        """The trie as arrays, nodes with children first, so that one lookup moves many words."""
+        inner = np.zeros(len(self.inside), bool)
+        keys, to = np.fromiter(self.child, np.int64, len(self.child)), np.fromiter(self.child.values(), np.int64, len(self.child))
+        inner[keys >> 8] = True
+        inner[0] = True
+        place = np.empty(len(inner), np.int32)
+        place[np.argsort(~inner, kind="stable")] = np.arange(len(inner))
+        self.moves = np.full((int(inner.sum()), 256), -1, np.int32)
+        self.moves[place[keys >> 8], keys & 0xFF] = place[to]
+        self.inside_at, self.ending_at = np.empty(len(inner), np.int64), np.empty(len(inner), np.int64)
+        self.inside_at[place], self.ending_at[place] = self.inside, self.ending
+        self.pair_keys, self.pair_fits = np.full(1 << _PAIR_BITS, -1, np.int64), np.zeros(1 << _PAIR_BITS, bool)
+
+    def _fit_all(self, pairs: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs; each slot of a table of fixed size remembers the last pair that fell there."""
+        with np.errstate(over="ignore"):
+            slot = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_BITS)
+        out = self.pair_fits[slot]
+        other = np.flatnonzero(self.pair_keys[slot] != pairs)
+        if len(other):
+            asked, first, back = np.unique(pairs[other], return_index=True, return_inverse=True)
+            found = np.fromiter((self.fits[x] for x in asked.tolist()), bool, len(asked))
+            out[other] = found[back]
+            for at, key, value in zip(slot[other[first]].tolist(), asked.tolist(), found.tolist(), strict=True):
+                self.pair_keys[at], self.pair_fits[at] = key, value
+        return out
+
+    def totals_of(self, pieces: list[bytes]) -> list[int]:
+        """``_total`` of many pieces in one pass: the tables of all grow by the same place at a time."""
+        out = np.zeros(len(pieces), np.int64)
+        sizes = np.array([*map(len, pieces)], np.int64)
+        for i in np.flatnonzero(sizes > _LONG_PIECE).tolist():
+            out[i] = self._total(pieces[i])
+        order = np.argsort(-sizes, kind="stable")
+        order = order[(sizes[order] <= _LONG_PIECE) & (sizes[order] > 0)]
+        if not len(order):
+            return out.tolist()
+        size = sizes[order]
+        data = np.frombuffer(b"\0".join([pieces[i] for i in order.tolist()]) + b"\0", np.uint8)
+        start = np.cumsum(size + 1) - size - 1
+        end = start + size
+        last, counts, closed = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64), np.zeros(len(size), np.int64)
+        inner = len(self.moves)
+        for begin in range(int(size[0])):
+            who = np.arange(int(np.searchsorted(-size, -begin, "left")))  # pieces longer than `begin`, which come first
+            at = start[who] + begin
+            before, count, node = (last[at] + 1) << 20, counts[at] + 1, np.zeros(len(who), np.int32)
+            while len(who):
+                node = self.moves[node, data[at]]
+                at = at + 1
+                alive = np.flatnonzero(node >= 0)
+                if len(alive) < len(who):
+                    who, at, before, count, node = who[alive], at[alive], before[alive], count[alive], node[alive]
+                token, done = self.inside_at[node], at == end[who]
+                asks = np.flatnonzero((token >= 0) & (last[at] < 0) & ~done)
+                if len(asks):
+                    asks = asks[self._fit_all(before[asks] | token[asks])]
+                    last[at[asks]], counts[at[asks]] = token[asks], count[asks]
+                if done.any():
+                    token = self.ending_at[node]
+                    asks = np.flatnonzero(done & (token >= 0) & (closed[who] == 0))
+                    if len(asks):
+                        asks = asks[self._fit_all(before[asks] | token[asks])]
+                        closed[who[asks]] = count[asks]
+                going = np.flatnonzero(~done & (node < inner))
+                if len(going) < len(who):
+                    who, at, before, count, node = who[going], at[going], before[going], count[going], node[going]
+        out[order] = closed
+        return out.tolist()
+
+    def _learn(self, words: list[str | bytes]) -> None:
+        """Remembers the totals of plain words and of other texts' pieces (bytes); letters are remembered apart from the marks behind them."""
+        totals, parts = self.totals, {}
+        for word in words:
+            if isinstance(word, bytes):
+                parts[word] = (word,)
+                continue
+            core = word.rstrip(MARKS)
+            parts[word] = ((core, word[len(core) :]) if core != word else (core,)) if core.isalpha() else self.pieces(word)
+        new = [*{p for own in parts.values() for p in own if p not in totals}]
+        totals.update(zip(new, self.totals_of([p if isinstance(p, bytes) else p.encode() for p in new]), strict=True))
+        for word, own in parts.items():
+            if len(own) != 1:
+                totals[word] = sum([totals[p] for p in own])
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Token counts of the prefixes of one plain, lower-case word, by code point."""
@@ -189,22 +275,36 @@ class WordBpe:
             base = out[-1]
         return (*out,)
 
-    def slow_words(self, text: str) -> list[int]:
-        """Token counts of the parts of any text, by the library's normaliser and word rule; a special string counts 1."""
-        counts = []
+    def normal(self, text: str) -> str:
+        return self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+
+    def one_by_one(self, text: str) -> bytes:
+        """The normal forms of a text's characters but white space, joined: the text's own form where nothing composes."""
+        return "".join([self.normal(c) for c in text if not c.isspace()]).encode()
+
+    def spelled(self, part: str) -> list[bytes]:
+        """The pieces of a text without special strings, by the library's normaliser and word rule."""
+        return [bytes(map(self.back.__getitem__, piece)) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.normal(part))]
+
+    def _units(self, text: str) -> tuple[list, int]:
+        """The words or pieces whose totals make a text's, and how many special strings it holds, which count 1 each."""
+        if self.is_plain(text):
+            return text.lower().split(), 0
         parts = self.cut_specials(text) if self.cut_specials else [text]
-        for k, part in enumerate(parts):
-            counts += [1] * (k > 0)
-            normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-            for spelled, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                counts.append(self._counts(bytes(map(self.back.__getitem__, spelled)))[-1])
-        return counts
+        return [p for part in parts for p in self.spelled(part)], len(parts) - 1
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts."""
+        if len(self.totals) > _KEEP:
+            self.totals.clear()
+        units = [*map(self._units, texts)]
+        known = self.totals
+        self._learn([w for w in {w for own, _ in units for w in own} if w not in known])
+        return [sum(map(known.__getitem__, own)) + n for own, n in units]
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
-        if self.is_plain(text):
-            return sum(map(self.totals.__getitem__, text.lower().split()))
-        return sum(self.slow_words(text))
+        return self.counts([text])[0]
 
     def table(self, text: str) -> "PrefixTable":
         return PrefixTable(self, text)
@@ -216,49 +316,119 @@ def shared_model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _joins_before(c: str) -> bool:
+    """Whether a character may compose with the one before it: marks, and the vowels and finals of Hangul."""
+    return "\u0300" <= c and (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff")
+
+
 class PrefixTable:
-    """The token count of each prefix of one plain text: running sums at word ends and the words' own tables."""
+    """The token count of each prefix of a text: running sums where its pieces end, and tables inside the pieces that are asked about.
+
+    A piece's table gives, by code points of the text, the tokens of its part
+    up to there. Where a cut parts characters that the library would compose,
+    or lies in a special string, that one piece is read again up to the cut.
+    """
 
     def __init__(self, model: WordBpe, text: str):
-        if not model.is_plain(text):
-            raise ValueError("only plain texts have independent words")
-        found = [*re.finditer(r"[^ \t\n\r]+", text)]
-        self.starts = [m.start() for m in found]
-        self.tables = [model.words[m[0].lower()] for m in found]
-        self.sums = [*accumulate((t[-1] for t in self.tables), initial=0)]
-        self.length = len(text)
+        self.model, self.text, self.length = model, text, len(text)
+        self.begin, self.kinds = [], []  # where a piece begins, and what it is: a word, bytes, or a special string
+        if model.is_plain(text):
+            found = [*re.finditer(r"[^ \t\n\r]+", text)]
+            self.begin, self.kinds = [m.start() for m in found], [m[0].lower() for m in found]
+        else:
+            self._pieces()
+        model._learn([k for k in {x for k in self.kinds for x in (k if isinstance(k, tuple) else (k,))} if k is not None and k not in model.totals])
+        self.sums = [*accumulate((1 if k is None else sum(map(model.totals.__getitem__, k if isinstance(k, tuple) else (k,))) for k in self.kinds), initial=0)]
+        self.tables: dict[int, np.ndarray] = {}
+
+    def _pieces(self) -> None:
+        from tokenizers import PreTokenizedString
+
+        at, model = 0, self.model
+        parts = re.split("(" + "|".join(map(re.escape, model.specials)) + ")", self.text) if model.specials else [self.text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                self.begin.append(at)
+                self.kinds.append(None)
+            elif part:
+                held = PreTokenizedString(part)
+                if model.library.normalizer:
+                    held.normalize(model.library.normalizer.normalize)
+                model.library.pre_tokenizer.pre_tokenize(held)
+                end, apart = 0, True
+                for piece, (start, stop), _ in held.get_splits(offset_referential="original", offset_type="char"):
+                    spelled, before = bytes(map(model.back.__getitem__, piece)), apart
+                    apart = model.one_by_one(part[start:stop]) == spelled
+                    # pieces that share a character's form, or composed across their border, stay together
+                    if start < end or (start == end > 0 and _joins_before(part[start]) and not (before and apart)):
+                        apart = False
+                        self.kinds[-1] = (*(self.kinds[-1] if isinstance(self.kinds[-1], tuple) else (self.kinds[-1],)), spelled)
+                    else:
+                        self.begin.append(at + start)
+                        self.kinds.append(spelled)
+                    end = max(end, stop)
+            at += len(part)
+
+    def _again(self, k: int, prefix: int) -> int:
+        """Tokens from piece `k` up to a cut, read anew; from the piece before a special string, as a cut string is none."""
+        while k and self.kinds[k] is None and self.kinds[k - 1] is not None:
+            k -= 1
+        return self.sums[k] + self.model.count(self.text[self.begin[k] : prefix])
+
+    def _table(self, k: int) -> np.ndarray:
+        """Tokens of all prefixes of piece `k`, from the empty one, up to the next piece; -1 where it must be read again."""
+        if k in self.tables:
+            return self.tables[k]
+        stop, kind, model = self.begin[k + 1] if k + 1 < len(self.begin) else self.length, self.kinds[k], self.model
+        own = self.text[self.begin[k] : stop]
+        if kind is None:
+            out = np.full(len(own) + 1, -1, np.int64)
+            out[0], out[len(next(s for s in model.specials if own.startswith(s))) :] = 0, 1
+        elif isinstance(kind, tuple):
+            out = np.full(len(own) + 1, -1, np.int64)
+            out[0] = 0
+        elif isinstance(kind, str):
+            counts = model.words[kind]
+            out = np.array([*counts, *[counts[-1]] * (len(own) + 1 - len(counts))], np.int64)
+        else:
+            whole = np.array(model._counts(kind), np.int64)
+            normal = model.normal
+            sizes = np.array([0 if c.isspace() else len(normal(c).encode()) for c in own], np.int64)
+            upto = np.minimum(np.concatenate([[0], np.cumsum(sizes)]), len(kind))
+            out = whole[upto]
+            # where characters may compose, sizes aren't those of single ones
+            if model.one_by_one(own) != kind:
+                out[1:] = -1
+            if kind[:1] == b"'" and len(kind) == 3:  # a contraction's own prefix is an apostrophe and a letter
+                out[1:len(own)] = -1
+        self.tables[k] = out
+        return out
 
     def count(self, prefix: int) -> int:
         """Tokens of the first `prefix` code points."""
-        k = bisect_right(self.starts, prefix - 1) - 1
+        k = bisect_right(self.begin, prefix - 1) - 1
         if k < 0:
             return 0
-        table = self.tables[k]
-        return self.sums[k] + table[min(prefix - self.starts[k], len(table) - 1)]
+        inside = int(self._table(k)[prefix - self.begin[k]])
+        return self.sums[k] + inside if inside >= 0 else self._again(k, prefix)
 
     def longest_within(self, budget: int) -> int:
         """Code points of the longest prefix of at most `budget` tokens."""
-        k = bisect_right(self.sums, budget) - 1  # words that fit as a whole
-        if k >= len(self.tables):
+        if self.sums[-1] <= budget:
             return self.length
-        table = self.tables[k]
-        inside = max(p for p in range(len(table)) if self.sums[k] + table[p] <= budget)
-        return self.starts[k] + inside
+        # tokens at the ends of pieces never fall, and a cut piece has one token at least
+        for k in range(bisect_right(self.sums, budget) - 1, -1, -1):
+            table = self._table(k)
+            for inside in range(len(table) - 1, 0, -1):
+                found = self.sums[k] + int(table[inside]) if table[inside] >= 0 else self._again(k, self.begin[k] + inside)
+                if found <= budget:
+                    return self.begin[k] + inside
+        return self.begin[0] if self.begin else self.length
 
 
 def longest_within(model: WordBpe, text: str, budget: int) -> int:
-    """Code points of the longest prefix of at most `budget` tokens, for any text."""
-    if model.is_plain(text):
-        return model.table(text).longest_within(budget)
-    if model.count(text) <= budget:
-        return len(text)
-    # counts rise with each whole word, so halve over word ends, then look inside the next word
-    ends = [0, *(m.end() for m in re.finditer(r"\S+", text))]
-    low, high = 0, len(ends) - 1
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if model.count(text[: ends[mid]]) <= budget else (low, mid)
-    return next(p for p in range(ends[high] - 1, ends[low] - 1, -1) if model.count(text[:p]) <= budget)
+    """Code points of the longest prefix of at most `budget` tokens."""
+    return model.table(text).longest_within(budget)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +439,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
         model = shared_model(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [*map(model.count, texts)]
+            counts = [n for at in range(0, len(texts), 1024) for n in model.counts(texts[at : at + 1024])]
             kept = [len(t) if n <= limit else longest_within(model, t, limit) for t, n in zip(texts, counts, strict=True)]
             columns = [batch.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(kept, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit", "kept_chars"])

@@ -89,8 +89,17 @@ def test_prefix_counts(library):
             assert [table.count(p) for p in range(len(text) + 1)] == counts
             for budget in range(6):
                 assert table.longest_within(budget) == max(p for p, n in enumerate(counts) if n <= budget)
-    odd = "中文 words é here"
-    assert word_tokens.longest_within(model, odd, 3) == max(p for p in range(len(odd) + 1) if len(library.encode(odd[:p], add_special_tokens=False).ids) <= 3)
+    letters = "ab'sreẹ́́ .,!1 İΣ漢한ᅡᆨ👩\u200d<|endoftext|>\n"
+    varied = ["中文 words é here", "İstanbul ΣΑΣ", "x̸ ≮ क्षि काा", "a<|endoftext|>b !!<|startoftext|>", *("".join(rng.choice(letters) for _ in range(25)) for _ in range(60))]
+    for text in varied:
+        table, counts = model.table(text), [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        assert [table.count(p) for p in range(len(text) + 1)] == counts
+        assert all(table.longest_within(b) == max(p for p, n in enumerate(counts) if n <= b) for b in range(max(counts) + 1))
+    pieces = [bytes(rng.choice(b"abehrst.,") for _ in range(n)) for n in (0, 1, 2, 7, 20, 47, 48, 49, 200)]
+    assert model.totals_of(pieces) == [model._total(p) for p in pieces]
+    unspaced = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    kept = word_tokens.longest_within(model, unspaced, 2048)
+    assert len(library.encode(unspaced[:kept], add_special_tokens=False).ids) <= 2048 < len(library.encode(unspaced[: kept + 1], add_special_tokens=False).ids)
     for _ in range(300):
         text = "".join(rng.choice("abehrst'.,!1 éÀ\n") for _ in range(20))
         assert model.count(text) == len(library.encode(text, add_special_tokens=False).ids)
