@@ -1,19 +1,21 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
 A word is itself and its character n-grams, hashed into rows of one embedding
-table; a text is the mean of all rows of all its words; two softmax weights
-vectors read that mean. Since both are linear, a word adds a fixed amount to the
-text's logit, so scoring remembers words up to a bound and never meets the
-table again. A long word, as in text without spaces, is read to its end in
-pieces and isn't remembered. Misspellings share most n-grams with the words they come from.
-
-Training is on the driver, over a sample bounded by `max_rows` rows and
-`max_chars` characters a row, chosen by hash of the id among labelled rows that
-aren't held out: the same rows on each run, of any source. Scoring reads whole
-texts, in the partitions they come in, without a shuffle.
-
-Defined results: a null or wordless text gets the score of the bias alone, which
-is that of the training rows' share; rows without a label are scored like any
+table; a text is the weighted mean of all rows of all its words; two softmax
+weight vectors read that mean. Since both are linear, a word adds fixed amounts
+to the text's logit and weight, so scoring remembers words up to a bound and
+never meets the table again. A long word, as in text without spaces, is read to
+its end in pieces and isn't remembered. Misspellings share most n-grams with the
+words they come from.
+
+Training is on the driver, over a sample bounded by `max_rows` rows, chosen by
+hash of the id among labelled rows that aren't held out: the same rows on each
+run, of any source, with their whole texts, kept as counts of words. Scoring
+reads whole texts, in the partitions they come in, without a shuffle.
+
+Defined results: a null or wordless text gets the score of the bias alone, as
+does one that shares no row with the training texts; texts of any length are
+read whole; equal texts get equal scores and other columns play no part; rows without a label are scored like any
 other; of repeated labels of an id the largest counts; an empty table gives an
 empty table; without training rows of both labels every score is the share.
 """
@@ -77,112 +79,190 @@ class Bag:
 
 
 class Model:
-    """A trained classifier. ``score`` gives the chance of label 1."""
+    """A trained classifier: what each row adds to the logit, and its weight in the mean. ``score`` gives the chance of label 1."""
 
-    def __init__(self, bag: Bag, logit_rows: np.ndarray, bias: float):
-        self.bag, self.logit_rows, self.bias = bag, logit_rows, bias
-        self.word = Memo(self._word, 250_000)
+    def __init__(self, bag: Bag, logit_rows: np.ndarray, weight_rows: np.ndarray, bias: float):
+        self.bag, self.logit_rows, self.weight_rows, self.bias = bag, logit_rows, weight_rows, bias
+        self.word = Memo(self._word, 200_000)
 
-    def _word(self, raw: str) -> tuple[float, int]:
+    def _word(self, raw: str) -> tuple[float, float]:
         word = raw.strip(_EDGE)
         if not word:
-            return (0.0, 0)
-        total, n = 0.0, 0
+            return (0.0, 0.0)
+        total, weight = 0.0, 0.0
         for rows in self.bag.pieces(word):
             total += float(self.logit_rows[rows].sum(dtype=np.float64))
-            n += len(rows)
-        return (total, n)
+            weight += float(self.weight_rows[rows].sum(dtype=np.float64))
+        return (total, weight)
 
     def score(self, text: str | None) -> float:
-        total, n, word = 0.0, 0, self.word
+        total, weight, word = 0.0, 0.0, self.word
         for raw in (text or "").lower().split():
             a, b = word[raw] if len(raw) <= _LONG else self._word(raw)
             total += a
-            n += b
-        z = self.bias + (total / n if n else 0.0)
+            weight += b
+        z = self.bias + (total / weight if weight else 0.0)
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
-def train(texts: Iterable[str | None], labels: Iterable[int], buckets: int = 1 << 18, size: int = 4, epochs: int = 12, rate: float = 2.0, batch: int = 16, scale: float = 100.0, doubt: float = 2.5, seed: int = 7) -> Model:
-    """Embeddings and softmax weights together, by stochastic gradient steps over shuffled texts; exact copies count once.
-
-    A marked word is a small share of a long text, so the mean is read at
-    `scale`. Texts are few beside n-grams, so a row starts and moves in
-    proportion to its evidence: the log ratio of the parts of marked and
-    unmarked texts that hold it, shrunk to nothing within `doubt` standard
-    errors of no difference. Rows without evidence stay zero.
+class Corpus:
+    """Texts as counts of words, and words as rows of the table: what training reads, in flat arrays."""
+
+    def __init__(self, bag: Bag, texts: Iterable[str], least: int):
+        known: dict[str, int] = {}
+        found, counts, sizes = [], [], []
+        for text in texts:
+            own: dict[int, int] = {}
+            for word in bag.words(text):
+                k = known.setdefault(word, len(known))
+                own[k] = own.get(k, 0) + 1
+            found.append(np.fromiter(own, np.int32, len(own)))
+            counts.append(np.fromiter(own.values(), np.float32, len(own)))
+            sizes.append(len(own))
+        self.word, self.count, self.first = _joined(found, np.int32), _joined(counts, np.float32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        del found, counts
+        rows = [np.concatenate([*bag.pieces(w)]) for w in known]
+        bag.rows.clear()
+        self.n = np.array([*map(len, rows)], np.int64)
+        self.rows = _joined(rows, np.int32)
+        del rows, known
+        self._index()
+        heard = np.zeros(bag.buckets, np.int64)
+        for d in range(len(sizes)):
+            heard[np.unique(self.rows_of(self.word[self.first[d] : self.first[d + 1]])[0])] += 1
+        self.weight = np.where(heard >= least, 1 / np.sqrt(np.maximum(heard, 1)), 0).astype(np.float32)
+        self.keep(self.weight > 0)
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        mass, mass2 = (np.bincount(owner, self.weight[self.rows].astype(np.float64) ** k, len(self.n)) for k in (1, 2))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        self.mass = np.bincount(text, self.count * mass[self.word], len(sizes))
+        self.mass2 = np.bincount(text, self.count.astype(np.float64) ** 2 * mass2[self.word], len(sizes))
+
+    def _index(self) -> None:
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+
+    def rows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of some words, in order, and how many each has."""
+        n = self.n[words]
+        return self.rows[np.repeat(self.at[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def keep(self, alive: np.ndarray) -> None:
+        """Forgets all rows but those that are alive."""
+        held = alive[self.rows]
+        self.n = np.bincount(np.repeat(np.arange(len(self.n)), self.n)[held], minlength=len(self.n))
+        self.rows = self.rows[held]
+        self._index()
+
+    def batch(self, chosen: np.ndarray, scale: float) -> tuple[np.ndarray, ...]:
+        """(text, word, share) of each word of some texts, numbered within the batch, and (word, row) of each of its rows."""
+        sizes = self.first[chosen + 1] - self.first[chosen]
+        at = np.repeat(self.first[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        held = self.n[self.word[at]] > 0
+        at, text = at[held], np.repeat(np.arange(len(chosen)), sizes)[held]
+        words, word = np.unique(self.word[at], return_inverse=True)
+        rows, n = self.rows_of(words)
+        return text, word, self.count[at] * (scale / np.maximum(self.mass[chosen], 1e-9))[text], np.repeat(np.arange(len(words)), n), rows
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def gradients(table: np.ndarray, weights: np.ndarray, bias: np.ndarray, row_weight: np.ndarray, batch: tuple[np.ndarray, ...], y: np.ndarray, ease: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Loss of a batch, the rows it has, and the mean gradients of those rows, the softmax weights and the bias; `ease` damps texts."""
+    text, word, share, of_word, rows = batch
+    n, n_words, size = len(y), int(word.max()) + 1 if len(word) else 0, table.shape[1]
+    unique, row = np.unique(rows, return_inverse=True)
+    weighted = table[unique] * row_weight[unique][:, None]
+    mean = np.empty((n, size))
+    for k in range(size):
+        mean[:, k] = np.bincount(text, np.bincount(of_word, weighted[row, k], n_words)[word] * share, n)
+    logits = mean @ weights + bias
+    logits -= logits.max(1, keepdims=True)
+    error = np.exp(logits)
+    error /= error.sum(1, keepdims=True)
+    loss = -float(np.log(error[np.arange(n), y] + 1e-12).sum())
+    error[np.arange(n), y] -= 1
+    error *= ease[:, None] / n
+    back = error @ weights.T
+    out = np.empty((len(unique), size))
+    for k in range(size):
+        out[:, k] = np.bincount(row, np.bincount(word, back[text, k] * share, n_words)[of_word], len(unique))
+    return loss, unique, out * row_weight[unique][:, None], mean.T @ error, error.sum(0)
+
+
+def train(texts: Iterable[str | None], labels: Iterable[int], buckets: int = 1 << 18, size: int = 4, epochs: int = 5, refits: int = 8, rate: float = 5.0, batch: int = 64, reach: float = 5.0, least: int = 8, doubt: float = 12.0, seed: int = 7) -> Model:
+    """Embeddings and softmax weights together, from a random start, by stochastic gradient steps; exact copies count once.
+
+    A row's weight in the mean is one over the root of the number of texts that
+    hold it, so that chance moves all rows alike; rows of fewer than `least`
+    texts have none. For `epochs` rounds each step also shrinks every row towards zero
+    by `doubt` deviations of such chance, which leaves the rows that the labels
+    need; `refits` rounds then move these alone, without shrinking. A marked
+    word is a small share of a long text, so the mean is read at a scale at which
+    the squared weights of a middling text's rows add up to `reach`.
     """
     bag = Bag(buckets)
     once = {(text or "", int(label)): None for text, label in zip(texts, labels, strict=True)}
-    texts, y = [t for t, _ in once], np.array([x for _, x in once], np.int64)
+    y = np.array([x for _, x in once], np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
+    bias = np.log(np.array([1 - share, share]))
     if len(y) == 0 or y.min() == y.max():
-        return Model(bag, np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
-    own, counts = [], []
-    for text in texts:
-        rows = [r for w in bag.words(text) for r in bag.pieces(w)]
-        found, n = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.int32), np.zeros(0))
-        own.append(found.astype(np.int32))
-        counts.append((scale * n / max(n.sum(), 1)).astype(np.float32))
-    marked, plain = np.full(buckets, 0.5), np.full(buckets, 0.5)
-    for rows, label in zip(own, y, strict=True):
-        (marked if label else plain)[rows] += 1
-    ratio = np.log(marked / (y.sum() + 1)) - np.log(plain / (len(y) - y.sum() + 1))
-    error2 = 1 / marked + 1 / plain
-    evidence = (ratio * np.maximum(0, 1 - doubt**2 * error2 / np.maximum(ratio**2, 1e-12))).astype(np.float32)
-    ease = evidence**2
-    for i, rows in enumerate(own):
-        keep = evidence[rows] != 0
-        own[i], counts[i] = rows[keep], counts[i][keep]
+        return Model(bag, np.zeros(buckets, np.float32), np.zeros(buckets, np.float32), float(bias[1] - bias[0]))
+    corpus = Corpus(bag, (t for t, _ in once), least)
+    del once
     random = np.random.default_rng(seed)
-    weights = np.stack([np.full(size, -0.5), np.full(size, 0.5)], 1).astype(np.float32) * (2 / size**0.5)
-    table = evidence[:, None] * (weights[:, 1] * 0.5 + 0.01 * random.standard_normal((buckets, size), np.float32))
-    table = table.astype(np.float32)
-    bias = np.log(np.array([1 - share, share], np.float32))
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
+    table = random.standard_normal((buckets, size)) * 0.01 * (corpus.weight > 0)[:, None]
+    weights = random.standard_normal((size, 2))
+    ratio = corpus.mass2 / np.maximum(corpus.mass, 1e-9) ** 2
+    scale = float(np.sqrt(reach / max(np.median(ratio), 1e-9)))
+    shrink = doubt * scale / max(float(corpus.mass.mean()), 1e-9) * float(np.sqrt(share * (1 - share))) / len(y)
+    norm2 = scale**2 * ratio
+    live = np.flatnonzero(corpus.weight)
+    for epoch in range(epochs + refits):
+        if 2 <= epoch <= epochs:
+            alive = (table != 0).any(1)
+            corpus.keep(alive)
+            live = np.flatnonzero(alive)
         order = random.permutation(len(y))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            rows = np.concatenate([own[i] for i in chosen])
-            shares = np.concatenate([counts[i] for i in chosen])
-            where = np.repeat(np.arange(len(chosen)), [len(own[i]) for i in chosen])
-            parts = table[rows] * shares[:, None]
-            mean = np.stack([np.bincount(where, parts[:, k], len(chosen)) for k in range(size)], 1).astype(np.float32)
-            logits = mean @ weights + bias
-            logits -= logits.max(1, keepdims=True)
-            error = np.exp(logits)
-            error /= error.sum(1, keepdims=True)
-            error[np.arange(len(chosen)), y[chosen]] -= 1
-            g_rows = (error @ weights.T)[where] * (shares * ease[rows])[:, None]
-            weights -= step * 0.002 * (mean.T @ error)
-            bias -= step * 0.02 * error.sum(0)
-            unique, at_row = np.unique(rows, return_inverse=True)
-            for k in range(size):
-                table[unique, k] -= step * np.bincount(at_row, g_rows[:, k], len(unique)).astype(np.float32)
-    return Model(bag, table @ (weights[:, 1] - weights[:, 0]) * scale, float(bias[1] - bias[0]))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int, max_chars: int) -> tuple[list[str | None], list[int]]:
-    """At most `max_rows` labelled rows that aren't held out, smallest hash of the id first; at most `max_chars` characters of each."""
+            round_, rounds = (epoch, epochs) if epoch < epochs else (epoch - epochs, refits)
+            step = rate * (1 - (round_ + at / len(order)) / rounds)
+            pull = float(np.abs(weights[:, 1] - weights[:, 0]).max())
+            # short texts move each of their rows far, so far that steps would overshoot
+            ease = np.minimum(1, 4 * batch / np.maximum(rate * pull**2 * norm2[chosen], 1e-9))
+            _, rows, of_rows, of_weights, of_bias = gradients(table, weights, bias, corpus.weight, corpus.batch(chosen, scale), y[chosen], ease)
+            table[rows] -= step * of_rows
+            if epoch < epochs:
+                held = table[live]
+                table[live] = held * np.maximum(0, 1 - step * shrink * pull / np.maximum(np.sqrt(np.einsum("ij,ij->i", held, held)), 1e-12))[:, None]
+            weights -= step * 0.01 * of_weights
+            bias -= step * 0.1 * of_bias
+    logit = (table @ (weights[:, 1] - weights[:, 0])) * scale * corpus.weight
+    return Model(bag, logit.astype(np.float32), corpus.weight, float(bias[1] - bias[0]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int) -> tuple[list[str | None], list[int]]:
+    """At most `max_rows` labelled rows that aren't held out, smallest hash of the id first, with their whole texts."""
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, max_chars).alias("text")).filter(~held_out(F.col("id"), 5, 0) & F.col("id").isNotNull())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out(F.col("id"), 5, 0) & F.col("id").isNotNull())
     chosen = marks.filter(~held_out(F.col("id"), 5, 0)).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     # the chosen ids are bounded by max_rows, so they can go to every task
     found = rows.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(max_rows).select("text", "label").collect()
     return [r.text for r in found], [int(r.label) for r in found]
 
 
-def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, max_chars: int = 4_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4_000) -> DataFrame:
     """Scores each whole text of `docs`, learning from `labelled_docs` and `labels`: the id, held_out, score, predicted."""
-    model = train(*labelled_sample(labelled_docs, labels, label_col, id_col, text_col, max_rows, max_chars))
-    shared = docs.sparkSession.sparkContext.broadcast((model.logit_rows, model.bias))  # a fixed number of buckets
+    model = train(*labelled_sample(labelled_docs, labels, label_col, id_col, text_col, max_rows))
+    shared = docs.sparkSession.sparkContext.broadcast((model.logit_rows, model.weight_rows, model.bias))  # a fixed number of buckets
     buckets = model.bag.buckets
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        rows, bias = shared.value
-        own = Model(Bag(buckets), rows, bias)
+        rows, weights, bias = shared.value
+        own = Model(Bag(buckets), rows, weights, bias)
         for batch in batches:
             scores = np.array([own.score(t) for t in batch.column("text").to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
@@ -191,15 +271,15 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
     return slim.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, max_chars: int = 4_000) -> DataFrame:
+def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4_000) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose whole text scores below one half."""
-    model = train(*labelled_sample(labelled_docs, labels, label_col, id_col, text_col, max_rows, max_chars))
-    shared = docs.sparkSession.sparkContext.broadcast((model.logit_rows, model.bias))
+    model = train(*labelled_sample(labelled_docs, labels, label_col, id_col, text_col, max_rows))
+    shared = docs.sparkSession.sparkContext.broadcast((model.logit_rows, model.weight_rows, model.bias))
     buckets, at = model.bag.buckets, docs.columns.index(text_col)
 
     def run(batches):
-        rows, bias = shared.value
-        own = Model(Bag(buckets), rows, bias)
+        rows, weights, bias = shared.value
+        own = Model(Bag(buckets), rows, weights, bias)
         for batch in batches:
             yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -195,6 +195,34 @@ def test_toxicity_learns_misspellings(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, docs, marks.filter("toxic = 0")).collect()} == {0}
 
 
+def test_toxicity_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    texts = ["one two three two", "one four", "five", "two two six seven eight"]
+    bag = toxicity.Bag(64)
+    corpus = toxicity.Corpus(bag, texts, 1)
+    want = Counter(int(r) for w in texts[0].split() for r in bag._rows(w))
+    text, word, share, of_word, rows = corpus.batch(np.array([0]), 1.0)
+    got = Counter()
+    for w, s in zip(word, share, strict=True):
+        for r in rows[of_word == w]:
+            got[int(r)] += float(s * corpus.weight[r])
+    total = sum(n * corpus.weight[r] for r, n in want.items())
+    assert got == pytest.approx({r: float(n * corpus.weight[r] / total) for r, n in want.items()})
+    table, weights, bias, y = rng.normal(size=(64, 3)), rng.normal(size=(3, 2)), rng.normal(size=2), np.array([0, 1, 1, 0])
+    args = corpus.weight, corpus.batch(np.arange(4), 5.0), y, np.ones(4)
+    _, found, of_rows, of_weights, of_bias = toxicity.gradients(table, weights, bias, *args)
+    full = np.zeros_like(table)
+    full[found] = of_rows
+    for whole, part in ((table, full), (weights, of_weights), (bias, of_bias)):
+        for at in np.ndindex(whole.shape):
+            kept, sides = whole[at], []
+            for d in (1e-5, -1e-5):
+                whole[at] = kept + d
+                sides.append(toxicity.gradients(table, weights, bias, *args)[0])
+            whole[at] = kept
+            assert (sides[0] - sides[1]) / 2e-5 / 4 == pytest.approx(part[at], abs=1e-5)
+
+
 def test_toxicity_reads_long_words_to_their_end(spark, monkeypatch):
     bag = toxicity.Bag(1 << 18)
     for length in (1, 62, 63, 200, 4_093, 4_094, 4_095, 4_096, 8_190, 9_000):
