@@ -1,5 +1,6 @@
 """URL reputation, robust quality, mixing, top-k search, language, toxicity and near-duplicates on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -137,6 +138,18 @@ def test_top_k_is_exact(spark):
         want = sorted(((int(-(own @ v)), i) for i, v in held if i != q))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert bit_sliced.top_k(frame.limit(0), F.lit(True)).count() == 0
+    assert sorted(map(tuple, bit_sliced.top_k(frame, F.col("vec_id") % 50 == 0).collect())) == sorted((q, *r) for q, own in got.items() for r in own)
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) * 10.0 ** int(rng.integers(0, 60)) for x in rng.normal(0, 1, 3)]) for i in range(60)] + [(100, [1e10, -1e10, 0.5]), (150, [1.0, 0.0, -1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bit_sliced.top_k(frame, F.col("vec_id") % 50 == 0).collect()}
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for q in (0, 50, 100, 150):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in want]
 
 
 def test_languages(spark):
