@@ -31,6 +31,7 @@ ties go to the smaller id; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -148,8 +149,11 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, print binary, bands array<long>")
 
 
-def _bagged(docs: DataFrame) -> DataFrame:
-    """id and the sorted 32-bit hashes of (shingle, occurrence) of rows (id, text)."""
+def _bagged(docs: DataFrame, bits: int = 32) -> DataFrame:
+    """id and the sorted hashes of (shingle, occurrence) of rows (id, text).
+
+    32 bits do to compare two texts; where all texts meet, 64 keep shingles apart.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -162,37 +166,34 @@ def _bagged(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum(np.bincount(text, weights, len(counts)).astype(np.int64))
                 with np.errstate(over="ignore"):
                     occurrence = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
-                    elements = (mix64(np.repeat(found, weights) + occurrence.astype(_U) * _U(0xD1B54A32D192ED03)) >> _U(32)).astype("<u4")
+                    elements = (mix64(np.repeat(found, weights) + occurrence.astype(_U) * _U(0xD1B54A32D192ED03)) >> _U(64 - bits)).astype(f"<u{bits // 8}")
                 own = [np.sort(x).tobytes() for x in np.split(elements, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(own, pa.binary())], ["id", "bag"])
 
     return docs.mapInArrow(run, f"id {kind}, bag binary")
 
 
-def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) of `docs` that may be in `ids`, found without moving a text.
+def _in_sieve(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Adds whether the row's `id` may be in `ids`, without moving a row.
 
     A bitmap of SIEVE_BITS bits, whatever the size of the input, holds a hash
-    of each wanted id; rows that aren't in it surely aren't wanted.
+    of each wanted id; rows that aren't in it surely aren't wanted. It travels
+    as a row that is joined to all, Spark's own bitmaps of 4 KB each.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1  # noqa: E731 - Spark's first bitmap begins with value 1
-    marks = ids.select(place("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    size = 4096  # bytes of one of Spark's bitmaps
-    sieve = np.zeros(SIEVE_BITS // 8 + size, np.uint8)
-    for r in marks:
-        sieve[(r.bucket - 1) * size : r.bucket * size] |= np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
-    kind = docs.schema["id"].dataType.simpleString()
+    marks = ids.select(place("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    marks = stored(marks)
+    number, position = F.bitmap_bucket_number(place("id")), F.bitmap_bit_position(place("id"))
+    own = rows.select("*", number.alias("_bucket"), position.alias("_bit"))
+    met = own.join(F.broadcast(marks.withColumnRenamed("bucket", "_of")), F.col("_bucket") == F.col("_of"), "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    return met.select(*rows.columns, held.alias(name))
 
-    def run(batches):
-        bits = shared.value
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False) - 1
-            bucket, position = h // (8 * size), h % (8 * size)
-            held = bits[bucket * size + position // 8] >> (position % 8).astype(np.uint8) & 1
-            yield batch.select(["id", "text"]).filter(pa.array(held.astype(bool)))
 
-    return docs.select("id", "text", place("id").alias("h")).mapInArrow(run, f"id {kind}, text string")
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of `docs` that may be in `ids`, found without moving a text."""
+    return _in_sieve(docs.select("id", "text"), ids, "known").filter("known").drop("known")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -266,45 +267,59 @@ def _rest(buckets: DataFrame, found: DataFrame, bagged_of, done: DataFrame, thre
     placed = stored(_within(buckets, found))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     open_ = stored(placed.join(mixed, "bucket").select("id", "component").distinct())
-    bagged = bagged_of(open_.select("id"))
-    # elements of one text only are as rare as can be and come first; they find no partner, so their number is all that counts
-    rarity = F.count(F.lit(1)).over(Window.partitionBy("element"))
-    held = _exploded(bagged).withColumn("texts", rarity).filter("texts > 1")
+    elements = stored(_exploded(bagged_of(open_.select("id"), 64)))
+    # elements of one text only are as rare as can be and come first; they find no partner, so their number is all that counts.
+    # Counts are combined before they move and then joined, where Spark splits the rows of a hot element
+    texts = stored(elements.groupBy("element").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    held = elements.join(texts, "element")
     own = Window.partitionBy("id")
     ranked = held.withColumn("place", F.row_number().over(own.orderBy("texts", "element")) + F.col("n") - F.count(F.lit(1)).over(own))
     prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "element", "place")
     prefix = stored(prefix.join(open_, "id"))
-    shared = prefix.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("element")
-    sides = prefix.join(shared, "element")
-    left, right = (sides.select("element", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "component")]) for x in "ab")
+    shared = stored(prefix.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("element"))
+    # texts of more than `threshold` apart in size can't be similar: an element's texts meet by classes of size, in their own and the next
+    size = F.floor(F.log("n") / -math.log(threshold)).cast("int")
+    sides = stored(prefix.join(shared, "element").withColumn("size", size))
+    left, right = (sides.select("element", "size", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "component")]) for x in "ab")
+    right = right.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
     room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    close = (F.col("component_a") < F.col("component_b")) & (room >= need) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    pairs = left.join(right, (left["element"] == right["element"]) & close).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    close = once & (F.col("component_a") != F.col("component_b")) & (room >= need) & (F.col("n_a") >= threshold * F.col("n_b"))
+    pairs = left.join(right, (left["element"] == right["element"]) & (left["size"] == right["size"]) & close).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def _exploded(bagged: DataFrame) -> DataFrame:
-    """(id, n, element) of bags, an element a row."""
+    """(id, n, element) of bags of 64-bit elements, an element a row."""
     kind = bagged.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                own = [np.frombuffer(x, "<i4") for x in part.column("bag").to_pylist()]
+                own = [np.frombuffer(x, "<i8") for x in part.column("bag").to_pylist()]
                 n = np.array([*map(len, own)], np.int32)
                 rows = pa.array(np.repeat(np.arange(len(own)), n))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own) if len(own) else np.zeros(0, np.int32))], ["id", "n", "element"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own) if len(own) else np.zeros(0, np.int64))], ["id", "n", "element"])
 
-    return bagged.select("id", "bag").mapInArrow(run, f"id {kind}, n int, element int")
+    return bagged.select("id", "bag").mapInArrow(run, f"id {kind}, n int, element long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The class of each row of `docs`: its id, class_id (the smallest id of the class), and class_size."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _classes(slim: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, bool, bool]:
+    """(id, component) of rows (id, text), and whether ids are pairs (id, hash of the text), and whether a row occurs twice.
+
+    Where rows of one id have different words, each text is a document of its
+    own, and pairs tell them apart.
+    """
     usable = slim.filter(F.col("id").isNotNull())
     signed = stored(_signed(usable, bands, rows))
+    often = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("print")).alias("low"), F.max(F.xxhash64("print")).alias("high")).filter("n > 1")
+    repeats, paired = often.agg(F.count(F.lit(1)) > 0, F.coalesce(F.max(F.col("low") < F.col("high")), F.lit(False))).first()
+    if paired:
+        slim = slim.withColumn("id", F.when(F.col("id").isNotNull(), F.struct(F.col("id"), F.xxhash64("text").alias("text"))))
+        usable = slim.filter(F.col("id").isNotNull())
+        signed = stored(_signed(usable, bands, rows))
     prints = signed.filter(F.col("print").isNotNull())
     kept = stored(prints.groupBy("print").agg(F.min(F.struct("id", "bands")).alias("first")).select("print", "first.id", "first.bands"))
     buckets = stored(kept.select("id", F.explode("bands").alias("bucket")))
@@ -313,9 +328,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stored(together.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     shared = stored(together.select("id", "bucket"))
 
-    def bagged_of(ids: DataFrame) -> DataFrame:
+    def bagged_of(ids: DataFrame, bits: int = 32) -> DataFrame:
         wanted = stored(ids.select("id").distinct())
-        return stored(_bagged(_sieved(usable, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])))
+        # rows of one id have the same words here, so any of them will do
+        return stored(_bagged(_sieved(usable, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), bits))
 
     bagged = bagged_of(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -329,16 +345,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(reduce(DataFrame.union, [*links[:2], links[2]]))
     # copies hang on the text that stands for them
     of_copy = _within(copies.select(F.col("a").alias("id"), F.col("b").alias("copy")), found).select(F.col("copy").alias("id"), "component")
-    named = found.union(of_copy).groupBy("id").agg(F.min("component").alias("component"))
-    classes = _within(slim.select("id"), named)
-    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("class_size"))
-    sized = classes.join(sizes.filter("class_size > 1").withColumnRenamed("component", "of"), F.col("component") == F.col("of"), "left")
+    named = stored(found.union(of_copy).groupBy("id").agg(F.min("component").alias("component")))
+    return stored(_within(slim.select("id"), named)), bool(paired), bool(repeats)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The class of each row of `docs`: its id, class_id (the smallest id of the class), and class_size."""
+    classes, paired, _ = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold, bands, rows)
+    sizes = stored(classes.groupBy("component").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1").withColumnRenamed("component", "of"))
+    sized = classes.join(sizes, F.col("component") == F.col("of"), "left")
     size = F.when(F.col("component").isNotNull(), F.coalesce("class_size", F.lit(1)).cast("long"))
-    return sized.select(F.col("id").alias(id_col), F.col("component").alias("class_id"), size.alias("class_size"))
+    own, of = (F.col("id.id"), F.col("component.id")) if paired else (F.col("id"), F.col("component"))
+    return sized.select(own.alias(id_col), of.alias("class_id"), size.alias("class_size"))
 
 
-def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class, that of the smallest id, all columns as they are; rows without an id stay."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    firsts = classes.filter(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(firsts, id_col, "left_semi").dropDuplicates([id_col]).union(docs.filter(F.col(id_col).isNull()))
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each class, that of the smallest id, all columns as they are; rows without an id stay.
+
+    Texts that no class drops stay where they are, as far as the bitmap tells.
+    """
+    classes, paired, repeats = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold, bands, rows)
+    columns = docs.columns
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))) if paired else F.col(id_col)
+    whole = docs.select(F.struct(*columns).alias("row"), key.alias("id"))
+    dropped = stored(classes.filter(F.col("id") != F.col("component")).select("id").distinct())
+    known = _in_sieve(whole, dropped, "known")
+    rest = known.filter("known").join(dropped, "id", "left_anti")
+    out = known.filter("not known").select("id", "row").union(rest.select("id", "row"))
+    if repeats:  # of equal ids and texts one row, the same on each run
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row"), F.to_json("row")))
+        out = out.withColumn("place", place).filter((F.col("place") == 1) | F.col("id").isNull())
+    return out.select("row.*")

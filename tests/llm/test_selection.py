@@ -309,7 +309,20 @@ def test_near_duplicates_equal_brute_force(spark):
     firsts = bag_minhash.keep_firsts(docs.union(docs.filter("doc_id = 3")).union(spark.createDataFrame([(None, "n", "s")], docs.schema)))
     assert firsts.columns == docs.columns
     assert sorted((r.doc_id for r in firsts.collect()), key=str) == sorted([*{*want.values()}, None], key=str)
-    assert bag_minhash.near_duplicates(docs.limit(0)).count() == 0
+    assert bag_minhash.near_duplicates(docs.limit(0)).count() == 0 and bag_minhash.keep_firsts(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_documents_of_their_own_where_their_texts_differ(spark):
+    texts = [" ".join(f"{t}{k}" for k in range(40)) for t in "abc"]
+    rows = [("s", texts[0], 1), ("s", texts[1], 1), ("s", texts[1], 2), ("t", texts[0], 1), ("s", texts[2] + " x" * 30_000, 3), ("s", texts[2] + " x" * 30_000, 3), ("s", None, 4), ("s", "", 4), ("n", texts[0], None), ("n", texts[0], None)]
+    docs = spark.createDataFrame(rows, "known string, text string, doc_id long").repartition(3)
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.class_id or 0, r.class_size or 0) for r in bag_minhash.near_duplicates(docs).collect())
+    assert found == [(False, 1, 1, 2), (False, 1, 1, 2), (False, 1, 1, 2), (False, 2, 1, 2), (False, 3, 3, 2), (False, 3, 3, 2), (False, 4, 4, 1), (False, 4, 4, 1), (True, 0, 0, 0), (True, 0, 0, 0)]
+    kept = bag_minhash.keep_firsts(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert Counter((i, t) for _, t, i in got) == Counter([(1, texts[0]), (1, texts[1]), (3, texts[2] + " x" * 30_000), (4, None), (4, ""), (None, texts[0]), (None, texts[0])])
+    assert Counter(got) == Counter(tuple(r) for r in bag_minhash.keep_firsts(docs.repartition(5)).collect())
 
 
 def test_a_large_group_of_near_copies_is_one_class(spark):
