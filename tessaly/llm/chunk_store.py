@@ -8,14 +8,18 @@ they stand. Three tables make the store:
   however often it occurs;
 * recipes: part, position, start within the part, id, n_tokens, the chunk
   hashes in order, and root, the hash of those hashes; ascending by id;
-* in the same table a manifest row a part: its documents, ids, id width, and the
-  hash of its recipes' roots.
+* manifest: a Merkle tree over the recipes' roots. Level 0 hashes the roots of up
+  to FAN neighbours of a part, each level above the hashes of up to FAN nodes,
+  until a part has one; the last row, part -1, hashes all parts' tops. Nodes say
+  how many documents and ids lie below them.
 
 Only chunks are shuffled with data, once, to be stored once; texts never move.
 Recipes are range-sorted by id, and a document's place among all ids is its
-part's offset and its start within the part. Reading back recomputes each
-stored chunk's hash and checksum, checks recipes and manifests against them,
-and joins checksums, not data, to the recipes.
+part's offset and its start within the part. Reading back builds the tree anew
+from the recipes and fails where a node differs from the stored one or is
+missing; then it recomputes each stored chunk's hash and checksum, checks each
+recipe's root against the chunks it gets, and joins checksums, not data, to the
+recipes. So a row lost, changed or moved anywhere is found.
 
 Defined results: a null text is empty, and an empty text has the end id alone;
 null ids come first; rows that repeat an id follow each other in an order fixed
@@ -29,17 +33,18 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, ensure_checkpoint_dir, mix64, stored
+from .common import Memo, drop_stored, ensure_checkpoint_dir, mix64, stored
 from .word_tokens import MARKS, WordBpe
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
+FAN = 1024
 HASH_BYTES = 16
 
 
@@ -166,29 +171,45 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
 
 
 def _recipe_rows(batches):
-    """Rows of one part in order, and its manifest after them."""
+    """Rows of one part in order, with their places, starts and roots."""
     from pyspark import TaskContext
 
-    part, position, start, tree, width, names = TaskContext.get().partitionId(), 0, 0, hashlib.sha256(), None, None
+    part, position, start = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         n, hashes = batch.column("n_tokens").to_pylist(), batch.column("hashes").to_pylist()
-        roots = [_digest(b"".join(x)) for x in hashes]
-        for root in roots:
-            tree.update(root)
         starts = [start, *(start + np.cumsum(n)).tolist()] if n else [start]
         columns = {
-            "part": pa.array([part] * len(n), pa.int32()), "position": pa.array(range(position, position + len(n)), pa.int64()), "start": pa.array(starts[:-1], pa.int64()),
-            "id": batch.column("id"), "n_tokens": batch.column("n_tokens"), "width": batch.column("width"), "hashes": batch.column("hashes"), "root": pa.array(roots, pa.binary()),
+            "part": pa.array([part] * len(n), pa.int32()), "position": pa.array(range(position, position + len(n)), pa.int64()), "start": pa.array(starts[:-1], pa.int64()), "id": batch.column("id"),
+            "n_tokens": batch.column("n_tokens"), "width": batch.column("width"), "hashes": batch.column("hashes"), "root": pa.array([_digest(b"".join(x)) for x in hashes], pa.binary()),
         }
-        names = batch.schema
         start, position = starts[-1], position + len(n)
-        width = batch.column("width")[0].as_py() if len(n) else width
         yield pa.RecordBatch.from_pydict(columns)
-    if position:
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "position": pa.array([-1], pa.int64()), "start": pa.array([position], pa.int64()), "id": pa.nulls(1, names.field("id").type),
-            "n_tokens": pa.array([start], pa.int64()), "width": pa.array([width], pa.int32()), "hashes": pa.nulls(1, pa.list_(pa.binary())), "root": pa.array([tree.digest()[:HASH_BYTES]], pa.binary()),
-        })
+
+
+def _hashed_nodes(nodes: DataFrame, *keys: str) -> DataFrame:
+    """One node for each group of `keys`: the hash of its members' hashes in order of `at`, and their sums; a group has FAN members at most."""
+    members = F.sort_array(F.collect_list(F.struct("at", "hash")))
+    own = F.unhex(F.sha2(F.unhex(F.array_join(F.transform(members, lambda x: F.hex(x["hash"])), "")), 256))
+    return nodes.groupBy(*keys).agg(F.substring(own, 1, HASH_BYTES).alias("hash"), F.sum("docs").alias("docs"), F.sum("ids").alias("ids"))
+
+
+def merkle_tree(recipes: DataFrame, most: int) -> DataFrame:
+    """All nodes (part, level, at, hash, docs, ids) over recipes (part, position, root, n_tokens), of at most `most` documents a part."""
+    nodes = recipes.select("part", F.col("position").alias("at"), F.col("root").alias("hash"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("ids"))
+    levels, level = [], 0
+    while level == 0 or most > 1:
+        grouped = _hashed_nodes(nodes.withColumn("up", F.floor(F.col("at") / FAN)), "part", "up")
+        nodes = grouped.select("part", F.lit(level).alias("level"), F.col("up").alias("at"), "hash", "docs", "ids")
+        levels.append(nodes)
+        most, level = -(-most // FAN), level + 1
+    # parts are few: as many as tasks wrote them
+    tops = nodes.select(F.col("part").cast("long").alias("at"), "hash", "docs", "ids", F.lit(-1).alias("part"))
+    top = _hashed_nodes(tops, "part").select("part", F.lit(level).alias("level"), F.lit(0).cast("long").alias("at"), "hash", "docs", "ids")
+    return reduce(DataFrame.union, levels).union(top)
+
+
+def _largest_part(recipes: DataFrame) -> int:
+    return recipes.agg(F.coalesce(F.max("position"), F.lit(-1)) + 1).first()[0]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
@@ -203,6 +224,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     id_type = recipes.schema["id"].dataType.simpleString()
     ordered = recipes.repartitionByRange(n, F.col("id"), F.xxhash64("hashes")).sortWithinPartitions("id", F.xxhash64("hashes"), "hashes")
     ordered.mapInArrow(_recipe_rows, f"part int, position long, start long, id {id_type}, n_tokens long, width int, hashes array<binary>, root binary").write.parquet(f"{path}/recipes")
+    written = docs.sparkSession.read.parquet(f"{path}/recipes")
+    merkle_tree(written, _largest_part(written)).coalesce(1).write.parquet(f"{path}/manifest")
+    drop_stored(staged)
 
 
 # CRC-32 of joined byte strings from those of the parts, by polynomials over GF(2) with bits reflected.
@@ -253,10 +277,17 @@ def _checked(batches):
 
 
 def read_digests(spark: SparkSession, path: str, id_name: str = "doc_id") -> DataFrame:
-    """A row a document, from the files alone: id, start among all ids, n_tokens, ids_crc32 over 32-bit ids."""
-    rows = spark.read.parquet(f"{path}/recipes")
-    recipes, manifest = rows.filter("position >= 0"), rows.filter("position < 0")
-    offsets = manifest.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("offset"))
+    """A row a document, from the files alone: id, start among all ids, n_tokens, ids_crc32 over 32-bit ids.
+
+    Raises ValueError where the manifest doesn't match the recipes.
+    """
+    broken = [r.part for r in check_manifest(spark, path).filter("not intact").limit(5).collect()]
+    if broken:
+        raise ValueError(f"the manifest doesn't match the recipes, as in parts {broken}")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    sizes = spark.read.parquet(f"{path}/manifest").filter("part >= 0").groupBy("part").agg(F.max_by("ids", "level").alias("ids"))
+    # a row a part, of which there are as many as tasks wrote them
+    offsets = sizes.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("offset"))
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, "hash binary, crc long, n long")
     occurring = recipes.select("part", "position", F.posexplode("hashes").alias("k", "hash"))
     found = occurring.join(chunks, "hash").groupBy("part", "position").agg(F.sort_array(F.collect_list(F.struct("k", "crc", "n", "hash"))).alias("chunks"))
@@ -277,18 +308,19 @@ def read_digests(spark: SparkSession, path: str, id_name: str = "doc_id") -> Dat
     return placed.select("id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks").mapInArrow(run, f"`{id_name}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def check_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """A row a part: whether its recipes, in order, have the root, documents and ids that its manifest says."""
-    rows = spark.read.parquet(f"{path}/recipes")
-    tree = F.substring(F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "root"))), lambda x: F.hex(x["root"])), "")), 256)), 1, HASH_BYTES)
-    found = rows.filter("position >= 0").groupBy("part").agg(tree.alias("tree"), F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("ids"))
-    said = rows.filter("position < 0").select("part", "root", F.col("start").alias("n_docs"), F.col("n_tokens").alias("n_ids"))
-    return said.join(found, "part", "left").select("part", (F.coalesce((F.col("tree") == F.col("root")) & (F.col("docs") == F.col("n_docs")) & (F.col("ids") == F.col("n_ids")), F.lit(False))).alias("intact"))
+def check_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A row a node, of the stored tree or of the one that the recipes give: whether both have it, with equal hash and sums."""
+    recipes, said = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    found = merkle_tree(recipes.select("part", "position", "root", "n_tokens"), _largest_part(recipes))
+    keys = ["part", "level", "at"]
+    same = F.col("s.node").eqNullSafe(F.col("f.node")) & F.col("s.node").isNotNull()
+    pairs = (said.select(*keys, F.struct("hash", "docs", "ids").alias("node")).alias("s")).join(found.select(*keys, F.struct("hash", "docs", "ids").alias("node")).alias("f"), keys, "full")
+    return pairs.select(*keys, same.alias("intact"))
 
 
 def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None, id_name: str = "doc_id") -> DataFrame:
     """The ids themselves (array of int), of all documents or those whose id is in `wanted`."""
-    recipes = spark.read.parquet(f"{path}/recipes").filter("position >= 0")
+    recipes = spark.read.parquet(f"{path}/recipes")
     if wanted is not None:
         recipes = recipes.join(wanted.select(F.col(id_name).alias("id")).distinct(), "id", "left_semi")
     chunks = spark.read.parquet(f"{path}/chunks").select("hash", "width", "data")

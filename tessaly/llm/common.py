@@ -23,15 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set and all tasks run in this machine's one process, as in tests."""
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessaly-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the files of what ``stored`` returned, once nothing reads them any more."""
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/stored-"
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if root.split(":", 1)[-1].lstrip("/") in path.toString():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, with its lineage cut, so that a lost executor costs a reread."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as tokenizers
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -128,7 +129,8 @@ def test_chunk_store_round_trip(spark, docs, library, tmp_path):
             start += f[2]
         sizes += len(streams[i])
     assert len(found) == sizes == len(ROWS)
-    assert all(r.intact for r in chunk_store.check_manifests(spark, path).collect())
+    nodes = chunk_store.check_manifest(spark, path).collect()
+    assert all(r.intact for r in nodes) and {(-1, 1), (0, 0)} <= {(r.part, r.level) for r in nodes}
     back = sorted(([r.doc_id, r.ids] for r in chunk_store.read_ids(spark, path).collect()), key=str)
     assert back == sorted(([i, s] for i, own in streams.items() for s in own), key=str)
     chunks = spark.read.parquet(f"{path}/chunks")
@@ -136,6 +138,32 @@ def test_chunk_store_round_trip(spark, docs, library, tmp_path):
     assert chunk_store.store_and_read(docs.limit(0), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("loss", ["recipe", "part", "order", "chunk", "manifest"])
+def test_chunk_store_finds_losses(spark, tmp_path, monkeypatch, loss):
+    monkeypatch.setattr(chunk_store, "FAN", 3)
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame([(i, f"some words {i} " * (1 + i % 40)) for i in range(60)], "doc_id long, text string")
+    chunk_store.write_store(docs, path, WORDS, parts=4)
+    assert chunk_store.read_digests(spark, path).count() == 60
+    table = {"chunk": "chunks", "manifest": "manifest"}.get(loss, "recipes")
+    rows = spark.read.parquet(f"{path}/{table}")
+    if loss == "recipe":
+        rows = rows.filter("id <> 17")
+    elif loss == "part":
+        rows = rows.filter("part <> 2")
+    elif loss == "order":
+        rows = rows.withColumn("position", F.when(F.col("position") < 2, 1 - F.col("position")).otherwise(F.col("position")))
+    elif loss == "chunk":
+        one = rows.agg(F.min("hash").alias("h")).first().h
+        rows = rows.filter(F.col("hash") != F.lit(bytes(one)))
+    else:
+        rows = rows.filter("level <> 1")
+    kept = rows.collect()
+    spark.createDataFrame(kept, rows.schema).write.mode("overwrite").parquet(f"{path}/{table}")
+    with pytest.raises(Exception, match="manifest|recipe"):
+        chunk_store.read_digests(spark, path).collect()
+
+
 def test_joined_checksums():
     parts = [b"abcd" * 7, b"", b"wxyz" * 100]
     shifts = {len(p): chunk_store._shift(len(p)) for p in parts}
