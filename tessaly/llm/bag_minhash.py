@@ -40,13 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, mix64, stored, words_of
+from .common import Memo, in_sieve, mix64, stored, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 THRESHOLD = 0.8
-#: Bits of the bitmap that sieves texts before they are joined: 8 MB at any size of the input.
-SIEVE_BITS = 1 << 26
 _U = np.uint64
 _UNIT = float(1 << 30)  # one mean arrival of a process of width 1
 _NEVER = np.int64(1 << 62)
@@ -173,27 +171,9 @@ def _bagged(docs: DataFrame, bits: int = 32) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, bag binary")
 
 
-def _in_sieve(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Adds whether the row's `id` may be in `ids`, without moving a row.
-
-    A bitmap of SIEVE_BITS bits, whatever the size of the input, holds a hash
-    of each wanted id; rows that aren't in it surely aren't wanted. It travels
-    as a row that is joined to all, Spark's own bitmaps of 4 KB each.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1  # noqa: E731 - Spark's first bitmap begins with value 1
-    marks = ids.select(place("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    marks = stored(marks)
-    number, position = F.bitmap_bucket_number(place("id")), F.bitmap_bit_position(place("id"))
-    own = rows.select("*", number.alias("_bucket"), position.alias("_bit"))
-    met = own.join(F.broadcast(marks.withColumnRenamed("bucket", "_of")), F.col("_bucket") == F.col("_of"), "left")
-    byte = F.conv(F.hex(F.substring("bits", (F.col("_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    held = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
-    return met.select(*rows.columns, held.alias(name))
-
-
 def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (id, text) of `docs` that may be in `ids`, found without moving a text."""
-    return _in_sieve(docs.select("id", "text"), ids, "known").filter("known").drop("known")
+    return in_sieve(docs.select("id", "text"), ids, "known").filter("known").drop("known")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -369,7 +349,7 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))) if paired else F.col(id_col)
     whole = docs.select(F.struct(*columns).alias("row"), key.alias("id"))
     dropped = stored(classes.filter(F.col("id") != F.col("component")).select("id").distinct())
-    known = _in_sieve(whole, dropped, "known")
+    known = in_sieve(whole, dropped, "known")
     rest = known.filter("known").join(dropped, "id", "left_anti")
     out = known.filter("not known").select("id", "row").union(rest.select("id", "row"))
     if repeats:  # of equal ids and texts one row, the same on each run

@@ -218,6 +218,12 @@ def utf8_step(state: int, byte: int) -> int:
     return next((to for low, high, to in _UTF8[state] if low <= byte <= high), ERROR)
 
 
+def utf8_resume(state: int, byte: int) -> int:
+    """The next state of a decoder that goes on after an error: a byte that can't go on a character may begin one."""
+    to = utf8_step(state, byte)
+    return utf8_step(0, byte) if to == ERROR and state not in (0, ERROR) else to if state != ERROR else utf8_step(0, byte)
+
+
 class Decoder:
     """Token ids in, bytes or text out, a bounded part at a time."""
 
@@ -229,7 +235,7 @@ class Decoder:
     def _after(self, key: tuple[int, int]) -> int:
         state, token = key
         for byte in self.tokens[token]:
-            state = utf8_step(state, byte)
+            state = utf8_resume(state, byte)
         return state
 
     def stream(self, ids: Iterable[int]) -> Iterator[bytes]:

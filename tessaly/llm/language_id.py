@@ -13,7 +13,7 @@ space before it and one after, so a word's code lengths depend on nothing but th
 are remembered up to a bound.
 
 Training is on the driver over a bounded sample: at most `max_rows` rows a
-language, smallest hash of the id first, `max_chars` characters of each.
+language, smallest hash of the row first, with their whole texts.
 Predictions read whole texts, in the partitions they come in, without a shuffle.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 ORDER = 4
 UNKNOWN = "und"
 
@@ -182,21 +184,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int, max_chars: int) -> list[tuple[str, str]]:
-    """(language, text) of at most `max_rows` rows a language that aren't held out; `max_chars` characters of each.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int) -> list[tuple[str, str]]:
+    """(language, text) of at most `max_rows` rows a language that aren't held out.
 
-    Rows are thinned in each range of ids' hashes first, so no language meets in one task.
+    The hashes of rows are ranked first, in parts of each language, so no
+    language meets in one task and only the texts of chosen rows move.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, max_chars).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("order", F.xxhash64("id", "text"))
-    salted = rows.withColumn("salt", F.pmod("order", F.lit(64)))
-    thinned = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("order"))).filter(F.col("n") <= max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("order", F.xxhash64("id", "text"))
+    hashes = rows.select("lang", "order", F.pmod("order", F.lit(64)).alias("salt"))
+    thinned = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("order"))).filter(F.col("n") <= max_rows)
     chosen = thinned.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= max_rows)
-    return [(r.lang, r.text) for r in chosen.select("lang", "text").collect()]
+    # equal rows are chosen together, once each
+    found = rows.join(stored(chosen.select("lang", "order").distinct()), ["lang", "order"]).select("lang", "order", "text").dropDuplicates(["lang", "order"])
+    return [(r.lang, r.text) for r in found.orderBy("lang", "order").collect()]
 
 
-def identify_languages(docs: DataFrame, learned_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 300, max_chars: int = 3_000, order: int = ORDER) -> DataFrame:
+def identify_languages(docs: DataFrame, learned_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 300, order: int = ORDER) -> DataFrame:
     """The language of each whole text: the id, held_out, lang_pred, score."""
-    lengths = train(sample(docs if learned_docs is None else learned_docs, id_col, text_col, lang_col, max_rows, max_chars), order)
+    lengths = train(sample(docs if learned_docs is None else learned_docs, id_col, text_col, lang_col, max_rows), order)
     shared = docs.sparkSession.sparkContext.broadcast(lengths)  # bounded by the sample
     id_type = docs.schema[id_col].dataType.simpleString()
 

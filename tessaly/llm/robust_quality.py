@@ -1,14 +1,17 @@
 """Quality rules: fixed base rules, then robust multivariate outliers.
 
 Per text, native functions compute counts and four transformed statistics. Per
-language and source, a minimum-covariance-determinant estimate is reached by
-concentration steps: mean and covariance of the current rows, the Mahalanobis
-distance of all rows, the closest three quarters as the next rows. A
-last step takes all rows within the 97.5 % quantile. A text is rejected when its
-squared distance passes the chi-square quantile of ``1 - tail``.
-
-Nothing gathers a group: moments are partial sums per task, and the distance
-that parts the closest share is found by counting distances in bins of 2 %
+language and source, the minimum-covariance-determinant estimate is sought from
+several starts: all rows' mean and covariance, medians with median absolute
+deviations, and the covariance of spatial signs about the medians. From each,
+concentration steps run until no determinant falls any more: the Mahalanobis
+distance of all rows, the closest three quarters, their mean and covariance. Of
+a group's estimates the one of least determinant is taken. A last step takes all
+rows within the 97.5 % quantile. A text is rejected when its squared distance
+passes the chi-square quantile of ``1 - tail``.
+
+Nothing gathers a group: moments are partial sums per task, medians come from
+sketches of bounded size, and the distance that parts the closest share is found by counting distances in bins of 2 %
 width, so it is exact to a bin, the same on each run, and bounded in memory.
 A group with fewer than ``least`` usable rows is judged by the estimate over all
 usable rows of its language, and where these are fewer too, by that over all of
@@ -17,7 +20,9 @@ Distances use an explicit Cholesky factor in plain column arithmetic.
 
 Defined results: a null text has no words, so the base rules reject it; null
 languages and sources are values of their own; repeated rows and null ids are
-rows like any other; an empty table gives an empty table.
+rows like any other, and equal rows have equal verdicts; rows at equal distance are
+closest together; a text of any length is read whole; columns of any other name,
+whatever it is, play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, stored, words_column
+from .common import SEPARATORS, in_sieve, stored, words_column
 
 STATISTICS = ("f_length", "f_symbols", "f_capitals", "f_marks")
 #: What each statistic's deviation is at least: texts that all share a value are no reason to reject the first that differs.
@@ -35,6 +40,8 @@ FLOORS = (0.25, 0.25, 0.25, 0.25)
 
 SYMBOLS = "#*$%&|<>"
 _MIN_WORDS = 50
+#: What the median absolute deviation of normal values is to be multiplied by for the deviation.
+_NORMAL_MAD = 1.4826
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -72,8 +79,9 @@ def _repeated(placed: Column) -> Column:
 
 
 def _row_key(*columns: Column) -> Column:
-    """What tells a row from others, whatever of it is null."""
-    return F.xxhash64(*columns)
+    """What tells a row from others, whatever of it is null: 128 bits of hashes."""
+    held = [x for c in columns for x in (c, c.isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b"))
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -132,12 +140,9 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
 
 
-def _moments(rows: DataFrame, inflate: float) -> DataFrame:
-    """Per group: means m_i and the lower triangle l_i_j of the Cholesky factor of the covariance."""
+def _factored(out: DataFrame, inflate: float) -> DataFrame:
+    """From means m_i and covariances c_i_j of groups g, stored: the means and the lower triangle l_i_j of the Cholesky factor."""
     p = len(STATISTICS)
-    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATISTICS)]
-    sums += [F.coalesce(F.covar_pop(STATISTICS[i], STATISTICS[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*sums)
     for i in range(p):
         for j in range(i + 1):
             c = F.col(f"c_{i}_{j}") * inflate + (FLOORS[i] ** 2 if i == j else 0.0)
@@ -147,6 +152,67 @@ def _moments(rows: DataFrame, inflate: float) -> DataFrame:
     return stored(out.select(F.col("g").alias("mg"), *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]))
 
 
+def _covariances(rows: DataFrame) -> DataFrame:
+    """Per group: means m_i and covariances c_i_j."""
+    p = len(STATISTICS)
+    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATISTICS)]
+    sums += [F.coalesce(F.covar_pop(STATISTICS[i], STATISTICS[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return rows.groupBy("g").agg(*sums)
+
+
+def _moments(rows: DataFrame, inflate: float) -> DataFrame:
+    """Per group: means m_i and the lower triangle l_i_j of the Cholesky factor of the covariance."""
+    return _factored(_covariances(rows), inflate)
+
+
+def _starts(core: DataFrame) -> DataFrame:
+    """First estimates of groups named start:group; ``_distance`` of rows that name them so starts the search."""
+    p = len(STATISTICS)
+    middle = stored(core.groupBy("g").agg(*[F.percentile_approx(x, 0.5).alias(f"m_{i}") for i, x in enumerate(STATISTICS)]).withColumnRenamed("g", "mg"))
+    away = core.join(middle, F.col("g") == F.col("mg")).drop("mg")
+    spread = stored(away.groupBy("g").agg(*[(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5) * _NORMAL_MAD).alias(f"d_{i}") for i, x in enumerate(STATISTICS)]).withColumnRenamed("g", "dg"))
+    wide = [F.sqrt(F.col(f"d_{i}") ** 2 + FLOORS[i] ** 2) for i in range(p)]
+    scaled = away.join(spread, F.col("g") == F.col("dg")).select("g", *[((F.col(x) - F.col(f"m_{i}")) / wide[i]).alias(f"z_{i}") for i, x in enumerate(STATISTICS)])
+    length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2))
+    signs = scaled.withColumn("r", F.greatest(length, F.lit(1e-9))).groupBy("g").agg(*[(F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("r") ** 2) * p).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    both = middle.join(spread, F.col("mg") == F.col("dg")).drop("dg")
+    means = [f"m_{i}" for i in range(p)]
+    plain = both.select(F.col("mg").alias("g"), *means, *[(F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    signed = both.join(signs, F.col("mg") == F.col("g")).select("g", *means, *[(F.col(f"s_{i}_{j}") * F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    found = [x.withColumn("g", F.concat(F.lit(f"{k}:"), F.col("g"))) for k, x in enumerate((_covariances(core), plain, signed))]
+    return _factored(found[0].unionByName(found[1]).unionByName(found[2]), 1.0)
+
+
+def _determinant() -> Column:
+    """The logarithm of an estimate's determinant."""
+    return sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(STATISTICS))), F.log(F.col("l_0_0"))) * 2
+
+
+def least_determinant(core: DataFrame, share: float, steps: int) -> DataFrame:
+    """Per group `g` of `core`, the moments of the closest `share` of its rows, of least determinant over all starts.
+
+    Concentration steps end when no determinant falls by a thousandth, and after `steps` at most.
+    """
+    inflate = share / chi2_cdf(chi2_quantile(share, len(STATISTICS)), len(STATISTICS) + 2)
+    tried = core.withColumn("g", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col("g")) for k in range(3)])))
+    moments, before = _starts(core), None
+    for step in range(steps):
+        measured = _distance(tried, moments)
+        near = measured.join(_closest(measured, share), F.col("g") == F.col("eg")).filter(F.col("d2") <= F.col("edge"))
+        moments = _moments(near, inflate)
+        now = moments.select(F.col("mg").alias("ng"), _determinant().alias("now"))
+        if before is not None:
+            moved = now.join(before, F.col("ng") == F.col("bg")).agg(F.coalesce(F.max(F.col("before") - F.col("now")), F.lit(0.0))).first()[0]
+            if moved < 1e-3:
+                break
+        before = now.select(F.col("ng").alias("bg"), F.col("now").alias("before"))
+    named = moments.withColumn("start", F.substring("mg", 1, 1).cast("int")).withColumn("mg", F.expr("substring(mg, 3)")).withColumn("det", _determinant())
+    columns = moments.columns[1:]
+    # a row a start: starts that end alike differ by rounding only, so the first of them is taken
+    best = F.min(F.struct(F.round("det", 6).alias("det"), "start", *columns)).alias("best")
+    return stored(named.groupBy("mg").agg(best).select("mg", *[f"best.{c}" for c in columns]))
+
+
 def _distance(rows: DataFrame, moments: DataFrame) -> DataFrame:
     """Adds `d2`, the squared Mahalanobis distance, by forward substitution."""
     p = len(STATISTICS)
@@ -169,21 +235,16 @@ def _closest(measured: DataFrame, share: float) -> DataFrame:
     return stored(reached.filter(F.col("upto") >= F.col("all") * share).groupBy(F.col("g").alias("eg")).agg(edge.alias("edge")))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 3, tail: float = 1e-9, least: int = 60) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 8, tail: float = 1e-9, least: int = 60) -> DataFrame:
     """Counts, base verdict, squared distance and verdict of each document.
 
-    `share` is the part of a group that an estimate rests on, `steps` the number
-    of concentration steps, `tail` the share of normal rows that may be rejected.
+    `share` is the part of a group that an estimate rests on, `steps` the most
+    concentration steps, `tail` the share of normal rows that may be rejected.
     """
     p = len(STATISTICS)
     rows = stored(_grouped(stored(statistics(docs, id_col, text_col, lang_col, source_col).withColumn("usable", ~F.col("base_failed"))), least))
     core = rows.filter("usable").select(F.explode("feeds").alias("g"), *STATISTICS)
-    moments = _moments(core, 1.0)
-    inflate = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    for _ in range(steps):
-        measured = _distance(core, moments)
-        near = measured.join(_closest(measured, share), F.col("g") == F.col("eg")).filter(F.col("d2") <= F.col("edge"))
-        moments = _moments(near, inflate)
+    moments = least_determinant(core, share, steps)
     moments = _moments(_distance(core, moments).filter(F.col("d2") <= chi2_quantile(0.975, p)), 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2))
     cut = chi2_quantile(1 - tail, p)
     judged = _distance(rows, moments).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cut, F.lit(False)))
@@ -192,6 +253,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of `docs`, all columns as they are, that ``judge`` keeps."""
-    kept = judge(docs, id_col, text_col, lang_col, source_col, **options).filter("kept").select(F.col("row_key").alias("_kept_key")).distinct()
-    keyed = docs.withColumn("_row_key", _row_key(F.col(id_col), F.col(text_col), F.col(lang_col), F.col(source_col)))
-    return keyed.join(kept, F.col("_row_key") == F.col("_kept_key"), "left_semi").drop("_row_key")
+    rejected = judge(docs, id_col, text_col, lang_col, source_col, **options).filter(~F.col("kept")).select(F.col("row_key").alias("id")).distinct()
+    rejected, columns = stored(rejected), docs.columns
+    whole = docs.select(F.struct(*columns).alias("row"), _row_key(F.col(id_col), F.col(text_col), F.col(lang_col), F.col(source_col)).alias("id"))
+    known = in_sieve(whole, rejected, "known")
+    # only texts that are rejected, or look so in the bitmap, are moved
+    return known.filter("not known").select("row").union(known.filter("known").join(rejected, "id", "left_anti").select("row")).select("row.*")

@@ -88,6 +88,37 @@ def test_concentration_steps_ignore_outliers(spark):
     assert all(abs(m[f"m_{i}"]) < 0.5 for i in range(4))
 
 
+def test_least_determinant_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    data = {"far": np.concatenate([rng.normal(0, 1, (300, 4)) @ rng.normal(0, 1, (4, 4)), rng.normal(40, 0.3, (95, 4))]), "clean": rng.normal(5, 2, (200, 4))}
+    frame = spark.createDataFrame([(g, *map(float, r)) for g, x in data.items() for r in x], ["g", *robust_quality.STATISTICS]).repartition(3)
+    moments = {r.mg: r for r in robust_quality.least_determinant(frame, 0.75, 20).collect()}
+    inflate = 0.75 / robust_quality.chi2_cdf(robust_quality.chi2_quantile(0.75, 4), 6)
+    for g, x in data.items():
+        found = []
+        for start in range(60):  # plain search from random starts
+            chosen = rng.choice(len(x), 12, replace=False)
+            for _ in range(50):
+                mean, cov = x[chosen].mean(0), np.cov(x[chosen].T, bias=True) * inflate + np.eye(4) * robust_quality.FLOORS[0] ** 2
+                d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                chosen = np.argsort(d2)[: int(np.ceil(len(x) * 0.75))]
+            found.append((np.linalg.det(cov), mean, d2))
+        det, mean, d2 = min(found, key=lambda f: f[0])
+        r = moments[g]
+        own = np.array([[r[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.log(np.linalg.det(own) ** 2) == pytest.approx(np.log(det), abs=0.15)
+        mine = (np.linalg.solve(own, (x - [r[f"m_{i}"] for i in range(4)]).T) ** 2).sum(0)
+        assert np.corrcoef(mine, d2)[0, 1] > 0.97 and ((mine > 30) == (d2 > 30)).mean() > 0.98
+
+
+def test_quality_keys_tell_rows_apart(spark):
+    good = " ".join(f"{w}{k}" for k in range(30) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, good, "x", None, "k"), (1, good, None, "x", "k"), (1, "short", "x", None, "k"), (1, good + " y" * 40_000, None, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row_key string").select("_row_key", "text", "doc_id", "source", "lang")
+    back = robust_quality.keep_good(docs)
+    assert back.columns == docs.columns and sorted((r.lang or "", r.source or "", r._row_key) for r in back.collect()) == [("", "x", "k"), ("x", "", "k")]
+
+
 def test_mixing_by_hand(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 60))), rng.choice(["a", "a", "a", "b", None]), "e") for i in range(400)] + [(7, "w w", "z", "e"), (7, "w w", "z", "e"), (None, "w", "z", "e"), (8, None, "z", "e"), (9, "", "empty", "e")]

@@ -7,8 +7,8 @@ import zlib
 import numpy as np
 import public_tokenizers as tokenizers
 import pytest
-from pyspark.sql import functions as F
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessaly.llm import bpe, chunk_store, word_tokens
@@ -67,6 +67,17 @@ def test_utf8_automaton_accepts_what_python_does():
         assert (state == 0) == good
 
 
+def test_decoding_goes_on_after_bad_bytes():
+    ranks = bpe.load_ranks(RANKS)
+    rng = random.Random(2)
+    for flush in (1, 2, 5, 1 << 16):
+        decoder = bpe.Decoder(ranks, flush=flush)
+        for _ in range(200):
+            data = b"".join(rng.choice([b"a", "é".encode(), "中".encode(), "😀".encode(), b"\xff", b"\xe4", b"\x80", b"\xf0\x9f"]) for _ in range(12))
+            ids = [ranks[bytes((x,))] for x in data]
+            assert b"".join(decoder.stream(ids)) == data and decoder.text(ids) == data.decode("utf-8", "replace")
+
+
 def test_encode_documents(spark, docs, reference):
     found = sorted((tuple(r) for r in bpe.encode_documents(docs, RANKS, tokenizers.PATTERN).collect()), key=str)
     want = []
