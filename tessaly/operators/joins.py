@@ -1,8 +1,8 @@
 """Joins by interval, by disclosure and by trading-day offset, without comparing every pair.
 
-Range joins keep an equality on the instrument, so Spark shuffles on it; where a
-lookup wants the last row at or before a date, both sides are unioned and one
-ordered window carries the last row forward, so no row is matched twice.
+Where a lookup wants the last row at or before a date, both sides are unioned and
+one ordered window carries the last row forward; where it wants the best of a
+few rows of a key, they are joined as one array. So no row is matched twice.
 """
 
 from __future__ import annotations
@@ -15,24 +15,55 @@ from pyspark.sql import functions as F
 OPEN_END = 99991231
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, right_on: str, values: Sequence[str]) -> DataFrame:
-    """For each left row, `values` of the last right row of equal keys with right_on <= on; of equal right_on, of the greatest values."""
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, right_on: str, values: Sequence[str], width: int | None = None) -> DataFrame:
+    """For each left row, `values` of the last right row of equal keys with right_on <= on; of equal right_on, of the greatest values.
+
+    With a `width`, numbers on the axis are cut into spans so wide, and each
+    span of a key is a window of its own that the last row before it enters, so
+    a key that holds much of the data is spread over its spans.
+    """
     held = F.struct(*[F.col(v) for v in values])
-    lefts = left.select("*", F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(held.alias("s")).schema["s"].dataType).alias("_row"))
-    rights = right.filter(F.col(right_on).isNotNull()).select(*keys, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), held.alias("_row"))
+    kind = right.select(held.alias("s")).schema["s"].dataType
+    span = F.lit(0) if width is None else F.floor(F.col("_at") / width)
+    lefts = left.select("*", F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_row")).withColumn("_span", span)
+    rights = right.filter(F.col(right_on).isNotNull()).select(*keys, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), held.alias("_row")).withColumn("_span", span)
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_at", "_side", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys, "_span").orderBy("_at", "_side", "_row").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_row", ignorenulls=True).over(order)).filter("_side = 1")
-    return found.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    if width is None:
+        return found.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    # one row a key and span: its last right row, and what was last before it
+    spans = both.groupBy(*keys, "_span").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_row"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    entering = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), F.last("_last", ignorenulls=True).over(before)["_row"].alias("_entering"))
+    same = F.col("_span") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = found.join(entering, same, "left").withColumn("_found", F.coalesce("_found", "_entering"))
+    return out.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
+def _first_of(left: DataFrame, right: DataFrame, keys: Sequence[str], entry, order, usable, out) -> DataFrame:
+    """Joins each key's right rows as one sorted array, and takes the first that is usable: no row is ever repeated."""
+    own = right.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(F.struct(*order, *entry))).alias("_held"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    found = left.join(own, same, "left").withColumn("_first", F.try_element_at(F.filter("_held", usable), F.lit(1)))
+    return found.select(*left.columns, *out(F.col("_first")))
 
 
 def interval_join(left: DataFrame, intervals: DataFrame, on: str, key: str, start: str, end: str, value: str) -> DataFrame:
-    """The value of the latest interval by `start` that holds each left row's date; a null end is open, an empty value is no interval."""
-    usable = intervals.filter(F.col(value).isNotNull() & (F.col(value) != "")).select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.coalesce(F.col(end), F.lit(OPEN_END)).alias("_e"), F.col(value).alias("_v"))
-    asked = left.select(key, on).distinct()
-    inside = (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col(on)) & (F.col(on) <= F.col("_e"))
-    best = asked.join(usable, inside).groupBy(key, on).agg(F.max_by("_v", F.struct("_s", "_e", "_v")).alias(value))
-    return left.join(best, [key, on], "left")
+    """The value of the latest interval by `start` that holds each left row's date; a null end is open, an empty value is no interval.
+
+    Of equal starts the greater end and value come first. Intervals are few a key.
+    """
+    usable = intervals.filter(F.col(value).isNotNull() & (F.col(value) != ""))
+    entry = [F.col(start).alias("_s"), F.coalesce(F.col(end), F.lit(OPEN_END)).alias("_e"), F.col(value).alias("_v")]
+    order = [(-F.col(start)).alias("_o1"), (-F.coalesce(F.col(end), F.lit(OPEN_END))).alias("_o2")]
+    last_value = Window.partitionBy(key, start, F.coalesce(F.col(end), F.lit(OPEN_END)))
+    once = usable.withColumn("_greatest", F.max(value).over(last_value)).filter(F.col(value) == F.col("_greatest")).drop("_greatest").dropDuplicates([key, start, end, value])
+    return _first_of(left, once, [key], entry, order, lambda h: (h["_s"] <= F.col(on)) & (F.col(on) <= h["_e"]), lambda f: [f["_v"].alias(value)])
 
 
 def point_in_time(asked: DataFrame, statements: DataFrame, key: str, period: str, date: str, disclosed: str, kind: str, preference: Sequence, update: str, values: Sequence[str]) -> DataFrame:
@@ -40,13 +71,12 @@ def point_in_time(asked: DataFrame, statements: DataFrame, key: str, period: str
 
     The first kind in `preference` with a version disclosed at or before the
     date; of that kind the latest disclosure, then the greatest update flag.
+    Versions are few a key and period.
     """
     order = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col(kind))
-    known = statements.withColumn("_order", order).filter("_order > 0").select(F.col(key).alias("_k"), F.col(period).alias("_p"), F.col(disclosed).alias("_d"), "_order", F.col(update).alias("_u"), *values)
-    visible = (F.col(key) == F.col("_k")) & (F.col(period) == F.col("_p")) & (F.col("_d") <= F.col(date))
-    ranked = asked.select(key, date, period).distinct().join(known, visible)
-    best = ranked.groupBy(key, date, period).agg(F.max_by(F.struct(*values), F.struct(-F.col("_order"), F.col("_d"), F.col("_u"), F.struct(*values))).alias("_best"))
-    return asked.join(best, [key, date, period], "left").select(*asked.columns, *[F.col(f"_best.{v}").alias(v) for v in values])
+    known = statements.withColumn("_order", order).filter((F.col("_order") > 0) & F.col(disclosed).isNotNull())
+    entry = [F.col(disclosed).alias("_d"), F.struct(*values).alias("_v")]
+    return _first_of(asked, known, [key, period], entry, [F.col("_order"), (-F.col(disclosed)).alias("_o1"), (-F.col(update)).alias("_o2")], lambda h: h["_d"] <= F.col(date), lambda f: [f["_v"][v].alias(v) for v in values])
 
 
 def ordinals(dates: DataFrame, date: str = "trade_date") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessaly.plans import cs_queries, engine_queries, ts_queries
+from tessaly.plans import cs_queries, engine_queries, market_queries, ts_queries
 
-QUERIES: dict = {**ts_queries.QUERIES, **cs_queries.QUERIES, **engine_queries.QUERIES}
-ORACLES: dict = {**ts_queries.ORACLES, **cs_queries.ORACLES, **engine_queries.ORACLES}
+_PARTS = (ts_queries, cs_queries, engine_queries, market_queries)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -87,8 +87,8 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order: the customer's latest earlier or equal event value, by day."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), date_key(F.col("o_orderdate")).alias("d"))
-    lines = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select((F.col("l_partkey") % 50).alias("k"), date_key(F.col("l_shipdate")).alias("s"), F.col("l_orderkey").alias("v"))
-    return joins.asof_join(orders, lines, ["k"], "d", "s", ["s", "v"])
+    lines = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("k"), date_key(F.col("l_shipdate")).alias("s"), F.col("l_orderkey").alias("v"))
+    return joins.asof_join(orders, lines, ["k"], "d", "s", ["s", "v"], width=10_000)
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +96,16 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code"), date_key(F.col("o_orderdate")).alias("in_date"), "o_orderpriority", "o_orderkey")
     order = Window.partitionBy("code").orderBy("in_date", "o_orderkey")
     intervals = orders.withColumn("out_date", F.lead("in_date").over(order)).select("code", "in_date", "out_date", F.col("o_orderpriority").alias("sector"))
-    asked = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.explode(F.array(*[F.lit(d) for d in (19950101, 19970615, 19991231)])).alias("trade_date"))
+    ends = _table(spark, sf_dir, "orders").select(date_key(F.last_day("o_orderdate")).alias("trade_date")).distinct()
+    asked = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code")).crossJoin(F.broadcast(ends))  # customers by month ends
     return joins.interval_join(asked, intervals, "trade_date", "code", "in_date", "out_date", "sector")
 
 
 def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point-in-time versions: line numbers are report types, order keys update flags, receipt by ship date."""
-    lines = _table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select((F.col("l_suppkey") % 20).alias("code"), (F.col("l_partkey") % 8).alias("period"), date_key(F.col("l_shipdate")).alias("disclosed"), "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("flag"), F.col("l_quantity").alias("v"))
-    asked = lines.select("code", "period").distinct().withColumn("trade_date", F.explode(F.array(*[F.lit(d) for d in (19930101, 19950101, 19980601)])))
-    return joins.point_in_time(asked, lines, "code", "period", "trade_date", "disclosed", "l_linenumber", [2, 1], "flag", ["v", "disclosed", "flag"])
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("period"), date_key(F.col("l_shipdate")).alias("disclosed"), "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("flag"), F.col("l_quantity").alias("v"))
+    asked = lines.select("code", "period", (F.floor(F.col("disclosed") / 100) * 100 + 20).cast("int").alias("trade_date")).distinct()
+    return joins.point_in_time(asked, lines, "code", "period", "trade_date", "disclosed", "l_linenumber", [2, 1, 5], "flag", ["v", "disclosed", "flag"])
 
 
 def shifted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,23 +176,16 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named per-date transforms and tail labels."""
-    x = F.col("x")
-    d = Window.partitionBy("trade_date")
-    panel = trade_panel(spark, sf_dir).withColumn("median", F.percentile(x, F.lit(0.5)).over(d))
-    panel = panel.withColumn("mad", F.percentile(F.abs(x - F.col("median")), F.lit(0.5)).over(d))
-    named = {f"t_{n}": f(x) for n, f in tf.REGISTRY.items()} | {"t_mad5": tf.clip_by_deviation(x, F.col("median"), F.col("mad"))}
-    return panel.select(*KEYS, *[rounded(c).alias(n) for n, c in named.items()], tf.tail_label(x, 0.3).alias("tail"))
+    """Every named transform of x as a feature and z as a label, and tail labels; ties come from rounding."""
+    panel = trade_panel(spark, sf_dir).select(*KEYS, F.round("x", 1).alias("f"), F.round("z", 1).alias("l"), "x")
+    out = panel.select(*KEYS, tf.tail_label(F.col("x"), 0.3).alias("tail"))
+    for name in ("none", "zscore", "zscore_clip3", "zscore_log_rank", "zscore_erfinv_rank", "mad5_zscore_features", "mad5_zscore_rank_label"):
+        made = tf.apply(panel, name, ["f"], ["l"])
+        out = out.join(made.select(*KEYS, rounded(F.col("f")).alias(f"f_{name}"), rounded(F.col("l")).alias(f"l_{name}")), KEYS)
+    return out
 
 
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All registered factors of one year, from one panel."""
-    specs = registry.select()
-    out = registry.compute(trade_panel(spark, sf_dir), specs, 19960101, 19961231)
-    return out.select(*KEYS, *[rounded(F.col(s.id)).alias(s.id) for s in specs])
-
-
-def registered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registered factors of all dates, from one panel."""
     specs = registry.select()
     out = registry.compute(trade_panel(spark, sf_dir), specs)
@@ -219,10 +213,9 @@ def event_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user and month-end day, each halving in 20 days, by type."""
     events = _table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("code"), F.to_date("ts").alias("day"), "event_type")
     ends = events.select(F.last_day("day").alias("at")).distinct()
-    return derived.decayed_events(events, ends, "code", "day", "event_type", "at", 20, 60)
+    return derived.decayed_events(events, ends, "code", "day", "event_type", "at", 20, 60).withColumn("strength", rounded(F.col("strength")))
 
 
-_DECAY_IC = "case when count(f) filter (where f is not null and r is not null) >= 2 and var_pop(f) filter (where f is not null and r is not null) > 1e-12 and var_pop(r) filter (where f is not null and r is not null) > 1e-12 then covar_pop(r, f) / (stddev_pop(f) filter (where r is not null) * stddev_pop(r) filter (where f is not null)) end"
 _P = lambda c: f"case when {c} is not null and count({c}) over (partition by trade_date, {c} is null) > 1 then (row_number() over (partition by trade_date, {c} is null order by {c}, ts_code) - 1) / (count({c}) over (partition by trade_date, {c} is null) - 1) end"
 _W = f"{_PRICED}, pp as (select *, {_P('x')} as p from b), cc as (select *, p - avg(p) over (partition by trade_date) as c from pp), ww as (select *, case when sum(abs(c)) over (partition by trade_date) > 1e-12 then c / sum(abs(c)) over (partition by trade_date) end as weight from cc)"
 _PORT = ", dd as (select *, abs(coalesce(weight, 0) - coalesce(lag(coalesce(weight, 0)) over (partition by ts_code order by trade_date), 0)) as dw, lag(1) over (partition by ts_code order by trade_date) is null as fst from {t}) select trade_date, round(case when count(label) filter (where weight is not null) > 0 then sum(coalesce(weight * label, 0)) end, 6) + 0.0 as ret, round(case when not bool_and(fst) then sum(dw) / 2 end, 6) + 0.0 as turnover from dd group by trade_date"
@@ -231,12 +224,46 @@ _KEY = "(year({0}) * 10000 + month({0}) * 100 + day({0}))::integer"
 _STATS = f"with {PANEL_SQL}, st as (select trade_date, count(x) as n, avg(x) as mean, stddev_pop(x) as std, min(x) as min, quantile_cont(x, 0.25) as p25, quantile_cont(x, 0.5) as p50, quantile_cont(x, 0.75) as p75, max(x) as max, count(x) / count(*) as coverage from panel group by trade_date)"
 _R = lambda *names: ", ".join(f"round({n}, 6) + 0.0 as {n}" for n in names)
 
+_MAIN_CONTRACT = """with recursive i as (select p_brand as product, (year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1)::int as trade_date, p_size % 6 as maturity, sum(l_quantity)::double as oi from lineitem join part on p_partkey = l_partkey group by all),
+s as (select *, dense_rank() over (partition by product order by trade_date) as n from i),
+r as (select product, n, arg_max(maturity, {'oi': oi, 'm': -maturity}) as main from s where n = 1 group by all
+ union all
+ select c.product, c.n, coalesce(arg_max(c.maturity, {'oi': c.oi, 'm': -c.maturity}) filter (where c.maturity > r.main and (o.oi is null or (c.oi > o.oi and c.oi * 10 >= o.oi * 11))), r.main) as main
+ from r join s c on c.product = r.product and c.n = r.n + 1 left join s o on o.product = r.product and o.n = r.n + 1 and o.maturity = r.main group by c.product, c.n, r.main)
+select s.product, s.trade_date, s.maturity as main, s.oi as main_interest from r join s on s.product = r.product and s.n = r.n and s.maturity = r.main"""
+
+
+def _transforms_sql() -> str:
+    rank = lambda c: f"case when {c} is not null then rank() over (partition by trade_date, {c} is null order by {c}) + (count(*) over (partition by trade_date, {c}) - 1) / 2.0 end"
+    z = lambda c: f"case when {c} is not null then case when stddev_pop({c}) over d > 1e-12 then ({c} - avg({c}) over d) / stddev_pop({c}) over d else 0 end end"
+    normal = lambda p: f"""case when {p} is null then null when {p} < 0.02425 or {p} > 0.97575 then case when {p} < 0.5 then 1 else -1 end
+ * (((((-7.784894002430293e-03 * sqrt(-2 * ln(least({p}, 1 - {p}))) - 3.223964580411365e-01) * sqrt(-2 * ln(least({p}, 1 - {p}))) - 2.400758277161838e00) * sqrt(-2 * ln(least({p}, 1 - {p}))) - 2.549732539343734e00) * sqrt(-2 * ln(least({p}, 1 - {p}))) + 4.374664141464968e00) * sqrt(-2 * ln(least({p}, 1 - {p}))) + 2.938163982698783e00)
+ / ((((7.784695709041462e-03 * sqrt(-2 * ln(least({p}, 1 - {p}))) + 3.224671290700398e-01) * sqrt(-2 * ln(least({p}, 1 - {p}))) + 2.445134137142996e00) * sqrt(-2 * ln(least({p}, 1 - {p}))) + 3.754408661907416e00) * sqrt(-2 * ln(least({p}, 1 - {p}))) + 1)
+ else (((((-3.969683028665376e01 * ({p} - 0.5) ** 2 + 2.209460984245205e02) * ({p} - 0.5) ** 2 - 2.759285104469687e02) * ({p} - 0.5) ** 2 + 1.383577518672690e02) * ({p} - 0.5) ** 2 - 3.066479806614716e01) * ({p} - 0.5) ** 2 + 2.506628277459239e00) * ({p} - 0.5)
+ / (((((-5.447609879822406e01 * ({p} - 0.5) ** 2 + 1.615858368580409e02) * ({p} - 0.5) ** 2 - 1.556989798598866e02) * ({p} - 0.5) ** 2 + 6.680131188771972e01) * ({p} - 0.5) ** 2 - 1.328068155288572e01) * ({p} - 0.5) ** 2 + 1) end"""
+    r6 = lambda c: f"round({c}, 6) + 0.0"
+    chosen = ", ".join(
+        f"{r6(v)} as {n}" for n, v in {
+            "f_none": "coalesce(f, 0)", "l_none": "l", "f_zscore": f"coalesce({z('f')}, 0)", "l_zscore": z("l"), "f_zscore_clip3": f"case when f is null then 0 else least(greatest({z('f')}, -3), 3) end", "l_zscore_clip3": z("l"),
+            "f_zscore_log_rank": f"coalesce({z('flog')}, 0)", "l_zscore_log_rank": z("llog"), "f_zscore_erfinv_rank": f"coalesce({z('fnorm')}, 0)", "l_zscore_erfinv_rank": z("lnorm"),
+            "f_mad5_zscore_features": f"coalesce({z('clip')}, 0)", "l_mad5_zscore_features": "l", "f_mad5_zscore_rank_label": f"coalesce({z('clip')}, 0)", "l_mad5_zscore_rank_label": z("lr"),
+        }.items()
+    )
+    return f"""with {PANEL_SQL}, a as (select trade_date, ts_code, x, round(x, 1) as f, round(z, 1) as l from panel),
+b as (select *, {rank('f')} as fr, count(f) over d as fn, {rank('l')} as lr, count(l) over d as ln, {rank('x')} as xr, count(x) over d as xn, quantile_cont(f, 0.5) over d as med from a window d as (partition by trade_date)),
+c as (select *, quantile_cont(abs(f - med), 0.5) over d as mad from b window d as (partition by trade_date)),
+e as (select *, ln(fr) as flog, ln(lr) as llog, {normal('((fr - 0.5) / fn)')} as fnorm, {normal('((lr - 0.5) / ln)')} as lnorm, case when f is not null then least(greatest(f, med - 5 * mad), med + 5 * mad) end as clip from c)
+select trade_date, ts_code, case when (xr - 0.5) / xn >= 0.7 then 1 when (xr - 0.5) / xn <= 0.3 then 0 end as tail, {chosen} from e window d as (partition by trade_date)"""
+
+
+_TRANSFORMS = _transforms_sql()
+
 QUERIES = {
     "flagship_factor_report": flagship, "labels_forward": labels, "backtest_ic": information, "backtest_ic_decay": decay, "backtest_groups": groups, "backtest_long_short": long_short, "backtest_held": held,
     "factor_stats": stats, "factor_stats_summary": stats_summary, "bars_ohlc": event_bars, "join_asof": asof_prices, "join_interval": sectors, "join_point_in_time": disclosed, "join_shifted": shifted_labels,
     "trailing_quarters": trailing, "rebalance_dates": schedules, "date_functions": date_functions, "column_merge": column_merge, "missing_dates": missing_dates, "first_rows": first_rows, "top_names": top_names,
     "main_contract": main_contracts, "liquid_pool": liquid_pool, "strongest_peers": peers, "decayed_events": event_decay,
-    "date_transforms": transforms, "registered_factors": registered, "registered_factors_all": registered_all, "series_kernels": kernel_statistics, "strategy_replay": replayed, "stream_bars": windowed,
+    "date_transforms": transforms, "registered_factors": registered, "series_kernels": kernel_statistics, "strategy_replay": replayed, "stream_bars": windowed,
 }
 
 ORACLES = {
@@ -250,9 +277,9 @@ ORACLES = {
     "factor_stats": _STATS + " select trade_date, n, " + _R("mean", "std", "min", "p25", "p50", "p75", "max", "coverage") + " from st",
     "factor_stats_summary": _STATS + ", y as (select *, (trade_date // 10000)::integer as year from st), z as (select year, count(*) as dates, avg(mean) as mean, avg(std) as std, avg(coverage) as coverage from y group by rollup (year)) select year, dates, " + _R("mean", "std", "coverage") + " from z",
     "bars_ohlc": f"with e as (select {_KEY.format('ts')} as trade_date, event_type, (hour(ts) // 6)::integer as bar_index, event_id, value, (event_id % 10)::double as vol from events where value is not null and isfinite(value)), a as (select trade_date, event_type, bar_index, arg_min(value, event_id) as open, max(value) as high, min(value) as low, arg_max(value, event_id) as close, sum(vol) as vol, sum(value * vol) as amount, count(*)::integer as minute_count from e group by all), v as (select *, case when vol > 0 then amount / vol when vol = 0 then 0.0 end as vwap from a) select trade_date, event_type, bar_index, {_R('open', 'high', 'low', 'close', 'vol', 'amount', 'vwap')}, minute_count from v",
-    "join_asof": f"with o as (select o_orderkey, o_custkey % 50 as k, {_KEY.format('o_orderdate')} as d from orders), l as (select l_partkey % 50 as k, {_KEY.format('l_shipdate')} as s, l_orderkey as v from lineitem where l_quantity >= 45), m as (select k, s, max(v) as v from l group by all) select o.o_orderkey, o.k, o.d, m.s, m.v from o asof left join m on o.k = m.k and o.d >= m.s",
-    "join_interval": f"with o as (select o_custkey as code, {_KEY.format('o_orderdate')} as in_date, o_orderpriority as sector, o_orderkey from orders), i as (select code, in_date, coalesce(lead(in_date) over (partition by code order by in_date, o_orderkey), 99991231) as out_date, sector from o), a as (select c_custkey as code, unnest([19950101, 19970615, 19991231])::integer as trade_date from customer), j as (select a.code, a.trade_date, i.sector, row_number() over (partition by a.code, a.trade_date order by i.in_date desc, i.out_date desc, i.sector desc) as r from a left join i on a.code = i.code and i.in_date <= a.trade_date and a.trade_date <= i.out_date) select code, trade_date, sector from j where r = 1",
-    "join_point_in_time": f"with l as (select l_suppkey % 20 as code, l_partkey % 8 as period, {_KEY.format('l_shipdate')} as disclosed, l_linenumber as t, l_orderkey * 10 + l_linenumber as flag, l_quantity as v from lineitem where l_linenumber <= 3), a as (select distinct code, period, unnest([19930101, 19950101, 19980601])::integer as trade_date from (select distinct code, period from l)), j as (select a.*, l.v, l.disclosed, l.flag, row_number() over (partition by a.code, a.period, a.trade_date order by case t when 2 then 1 when 1 then 2 end, l.disclosed desc, l.flag desc) as r from a left join l on a.code = l.code and a.period = l.period and l.disclosed <= a.trade_date and l.t in (1, 2)) select code, period, trade_date, v, disclosed, flag from j where r = 1",
+    "join_asof": f"with o as (select o_orderkey, o_custkey % 50 as k, {_KEY.format('o_orderdate')} as d from orders), l as (select l_partkey % 50 as k, {_KEY.format('l_shipdate')} as s, l_orderkey as v from lineitem), m as (select k, s, max(v) as v from l group by all) select o.o_orderkey, o.k, o.d, m.s, m.v from o asof left join m on o.k = m.k and o.d >= m.s",
+    "join_interval": f"with o as (select o_custkey as code, {_KEY.format('o_orderdate')} as in_date, o_orderpriority as sector, o_orderkey from orders), i as (select code, in_date, coalesce(lead(in_date) over (partition by code order by in_date, o_orderkey), 99991231) as out_date, sector from o), a as (select c_custkey as code, trade_date from customer cross join (select distinct (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(last_day(o_orderdate)))::integer as trade_date from orders)), j as (select a.code, a.trade_date, i.sector, row_number() over (partition by a.code, a.trade_date order by i.in_date desc, i.out_date desc, i.sector desc) as r from a left join i on a.code = i.code and i.in_date <= a.trade_date and a.trade_date <= i.out_date) select code, trade_date, sector from j where r = 1",
+    "join_point_in_time": f"with l as (select l_suppkey as code, year(l_shipdate) * 4 + quarter(l_shipdate) as period, {_KEY.format('l_shipdate')} as disclosed, l_linenumber as t, l_orderkey * 10 + l_linenumber as flag, l_quantity as v from lineitem), a as (select distinct code, period, (disclosed // 100 * 100 + 20)::integer as trade_date from l), j as (select a.*, l.v, l.disclosed, l.flag, row_number() over (partition by a.code, a.period, a.trade_date order by case t when 2 then 1 when 1 then 2 else 3 end, l.disclosed desc, l.flag desc) as r from a left join l on a.code = l.code and a.period = l.period and l.disclosed <= a.trade_date and l.t in (1, 2, 5)) select code, period, trade_date, v, disclosed, flag from j where r = 1",
     "join_shifted": f"with {PANEL_SQL}, p as (select trade_date, ts_code, z from panel where present), o as (select trade_date, row_number() over (order by trade_date) as n from (select distinct trade_date from p)), q as (select p.*, o.n from p join o using (trade_date)) select a.trade_date, a.ts_code, round(b.z, 6) + 0.0 as z_2 from q a left join q b on a.ts_code = b.ts_code and b.n = a.n + 2",
     "trailing_quarters": "with q as (select l_suppkey as code, (year(l_shipdate) * 4 + quarter(l_shipdate) - 1)::integer as q, sum(l_quantity) as v from lineitem group by all having count(*) >= 5) select code, q, round(case when count(v) over w = 4 then sum(v) over w end, 6) + 0.0 as ttm from q window w as (partition by code order by q range between 3 preceding and current row)",
     "rebalance_dates": "with d as (select distinct o_orderdate::date as dt, " + _KEY.format("o_orderdate") + " as trade_date from orders), k as (select trade_date, row_number() over (order by trade_date) - 1 as n, (date_diff('day', date '1970-01-01', dt) + 2) // 7 as wk, trade_date // 100 as mo, trade_date // 10000 * 10 + (trade_date // 100 % 100 - 1) // 3 as qu, trade_date // 10000 * 10 + (trade_date // 100 % 100 - 1) // 6 as sa, trade_date // 10000 as yr from d), l as (select *, lead(wk) over o as nwk, lead(mo) over o as nmo, lead(qu) over o as nqu, lead(sa) over o as nsa, lead(yr) over o as nyr from k window o as (order by trade_date)), w as (select trade_date, row_number() over (order by trade_date) - 1 as i from l where nwk is distinct from wk) select 'weekly' as rule, trade_date from w union all select 'biweekly', trade_date from w where i % 2 = 0 union all select 'monthly', trade_date from l where nmo is distinct from mo union all select 'quarterly', trade_date from l where nqu is distinct from qu union all select 'semiannual', trade_date from l where nsa is distinct from sa union all select 'annual', trade_date from l where nyr is distinct from yr union all select '7', trade_date from l where n % 7 = 0",
@@ -265,9 +292,7 @@ ORACLES = {
     "strongest_peers": "with p as (select distinct l_suppkey as member, l_partkey as k from lineitem), c as (select a.member, b.member as peer, count(*) as shared from p a join p b on a.k = b.k and a.member <> b.member group by all) select member, peer, shared, row_number() over (partition by member order by shared desc, peer)::integer as place from c qualify place <= 3",
     "decayed_events": "with e as (select user_id % 40 as code, ts::date as day, event_type from events), a as (select distinct last_day(day) as at from e) select e.code, a.at, e.event_type, round(sum(2.0 ** (-date_diff('day', e.day, a.at) / 20.0)), 6) + 0.0 as strength from e join a on e.day <= a.at and date_diff('day', e.day, a.at) <= 60 group by all",
     "stream_bars": f"select {_KEY.format('ts')} as trade_date, event_type, {_R('max(value)', 'min(value)').replace('as max(value)', 'as high').replace('as min(value)', 'as low')}, count(*) as n from events group by {_KEY.format('ts')}, event_type",
-    "registered_factors": f"with {PANEL_SQL}, s as (select trade_date, ts_code, present, lag(z, 6) over o as z6, z, case when count(z) over f6 >= 3 then stddev_pop(z) over f6 end as vol, case when count(x) over f6 >= 3 then ln(1 + sum(x) over f6) end as tu, case when count(x) over f3 >= 3 and sum(x) over f3 > 0 then ln(sum(x) over f3) end as li, list({{'x': x, 'z': z}}) over f12 as l from panel window o as (partition by ts_code order by trade_date), f3 as (partition by ts_code order by trade_date rows between 2 preceding and current row), f6 as (partition by ts_code order by trade_date rows between 5 preceding and current row), f12 as (partition by ts_code order by trade_date rows between 11 preceding and current row)), h as (select *, list_filter(l, lambda v: v.x is not null and v.z is not null) as q from s), m as (select *, len(q) as n, list_avg(list_transform(q, lambda v: v.x)) as mx, list_avg(list_transform(q, lambda v: v.z)) as mz from h), c as (select *, list_avg(list_transform(q, lambda v: (v.x - mx) * (v.z - mz))) as cxz, sqrt(list_avg(list_transform(q, lambda v: (v.x - mx) ** 2)) * list_avg(list_transform(q, lambda v: (v.z - mz) ** 2))) as sxz from m) select trade_date, ts_code, round(case when abs(z6) > 1e-12 then z / z6 - 1 end, 6) + 0.0 as momentum_6, round(vol, 6) + 0.0 as volatility_6, round(tu, 6) + 0.0 as turnover_6, round(case when n >= 6 and sxz > 1e-12 then cxz / sxz end, 6) + 0.0 as price_volume_corr_12, round(li, 6) + 0.0 as liquidity_sum_3 from c where present and trade_date between 19960101 and 19961231",
-    "main_contract": None,
+    "registered_factors": f"with {PANEL_SQL}, s as (select trade_date, ts_code, present, lag(z, 6) over o as z6, z, case when count(z) over f6 >= 3 then stddev_pop(z) over f6 end as vol, case when count(x) over f6 >= 3 then ln(1 + sum(x) over f6) end as tu, case when count(x) over f3 >= 3 and sum(x) over f3 > 0 then ln(sum(x) over f3) end as li, list({{'x': x, 'z': z}}) over f12 as l from panel window o as (partition by ts_code order by trade_date), f3 as (partition by ts_code order by trade_date rows between 2 preceding and current row), f6 as (partition by ts_code order by trade_date rows between 5 preceding and current row), f12 as (partition by ts_code order by trade_date rows between 11 preceding and current row)), h as (select *, list_filter(l, lambda v: v.x is not null and v.z is not null) as q from s), m as (select *, len(q) as n, list_avg(list_transform(q, lambda v: v.x)) as mx, list_avg(list_transform(q, lambda v: v.z)) as mz from h), c as (select *, list_avg(list_transform(q, lambda v: (v.x - mx) * (v.z - mz))) as cxz, sqrt(list_avg(list_transform(q, lambda v: (v.x - mx) ** 2)) * list_avg(list_transform(q, lambda v: (v.z - mz) ** 2))) as sxz from m) select trade_date, ts_code, round(case when abs(z6) > 1e-12 then z / z6 - 1 end, 6) + 0.0 as momentum_6, round(vol, 6) + 0.0 as volatility_6, round(tu, 6) + 0.0 as turnover_6, round(case when n >= 6 and sxz > 1e-12 then cxz / sxz end, 6) + 0.0 as price_volume_corr_12, round(li, 6) + 0.0 as liquidity_sum_3 from c where present",
+    "main_contract": _MAIN_CONTRACT, "date_transforms": _TRANSFORMS,
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
-#: The same SQL over all dates.
-ORACLES["registered_factors_all"] = ORACLES["registered_factors"].removesuffix(" and trade_date between 19960101 and 19961231")
