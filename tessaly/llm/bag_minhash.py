@@ -32,7 +32,7 @@ ties go to the smaller id; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, in_sieve, mix64, stored, words_of
+from .common import Memo, in_sieve, kept, mix64, stored, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 36, 7
@@ -68,10 +68,9 @@ def shingles(texts: list[str | None], words: Memo) -> tuple[np.ndarray, np.ndarr
     return out, counts, fingerprints
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> Memo:
     """Hashes of words, kept in a Python worker for its next tasks."""
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+    return kept(("word_hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w), 300_000))
 
 
 def bags(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, kept
 
 _FAR = 1 << 60
 
@@ -279,11 +278,14 @@ class Encoder:
         return [*chain.from_iterable(map(self.known.__getitem__, pieces))]
 
 
-@lru_cache(maxsize=2)
 def shared_coders(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder, dict[int, str]]:
     """Both ways and the ids as text, made once in a Python worker and kept, with what they remember, for its next tasks."""
-    ranks = load_ranks(ranks_path)
-    return Encoder(ranks, pattern), Decoder(ranks), {i: str(i) for i in ranks.values()}
+
+    def make():
+        ranks = load_ranks(ranks_path)
+        return Encoder(ranks, pattern), Decoder(ranks), {i: str(i) for i in ranks.values()}
+
+    return kept(("byte_bpe", ranks_path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

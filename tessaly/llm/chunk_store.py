@@ -33,14 +33,14 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterable
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_stored, ensure_checkpoint_dir, mix64, stored
+from .common import Memo, drop_stored, ensure_checkpoint_dir, kept, mix64, stored
 from .word_tokens import MARKS, WordBpe
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -131,10 +131,9 @@ class WordIds:
         return [b"".join(map(get, words)) if isinstance(words, list) else np.array(self.library.encode(words, add_special_tokens=False).ids, self.type).tobytes() for words in split]
 
 
-@lru_cache(maxsize=2)
 def shared_ids(path: str) -> WordIds:
     """The encoder of a file, made once in a Python worker and kept, with the words it remembers, for the worker's next tasks."""
-    return WordIds(path)
+    return kept(("word_ids", path), lambda: WordIds(path))
 
 
 def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -85,6 +85,17 @@ class Memo(dict):
         return value
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What `make` gives, kept in a Python worker for its next tasks; only the last one asked for, so that a worker that serves one operator after another holds the caches of one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over an array of uint64."""
     with np.errstate(over="ignore"):

@@ -49,6 +49,32 @@ def subwords(word: str, low: int, high: int) -> list[str]:
     return [marked, *(marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1))]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table.astype(np.uint32)
+
+
+_CRC = _crc_table()
+
+
+def crc32_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The CRC-32 of many spans of bytes, a byte of all spans at a time."""
+    size = end - begin
+    crc, at, going, k = np.full(len(begin), 0xFFFFFFFF, np.uint32), begin.astype(np.int32), None, 0
+    least = int(size.min()) if len(size) else 0
+    for k in range(least):
+        crc = _CRC[(crc ^ data[at + k]) & np.uint32(0xFF)] ^ crc >> np.uint32(8)
+    going, k = np.flatnonzero(size > least), least
+    while len(going):
+        own = crc[going]
+        crc[going] = _CRC[(own ^ data[at[going] + k]) & np.uint32(0xFF)] ^ own >> np.uint32(8)
+        k += 1
+        going = going[size[going] > k]
+    return ~crc
+
+
 class Bag:
     """Texts as rows of the table: words lower-cased, stripped of marks, hashed."""
 
@@ -73,36 +99,97 @@ class Bag:
             piece = marked[at : at + _PIECE + self.high - 1]
             yield self._hashed(piece[i : i + n] for n in range(self.low, self.high + 1) for i in range(min(_PIECE, len(piece) - n + 1)))
 
+    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of many words, word by word, and how many each has: the same as ``pieces`` gives, in one pass."""
+        short = [w for w in words if len(w) <= _LONG]
+        out, sizes = self._short_rows(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if len(short) == len(words):
+            return out, sizes
+        parts, n = [], []
+        own = iter(np.split(out, np.cumsum(sizes)[:-1]) if short else [])
+        for w in words:
+            rows = next(own) if len(w) <= _LONG else np.concatenate([*self.pieces(w)])
+            parts.append(rows)
+            n.append(len(rows))
+        return np.concatenate(parts), np.array(n, np.int64)
+
+    def _short_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-8", "surrogatepass"), np.uint8)
+        chars = np.flatnonzero(data & 0xC0 != 0x80)  # where characters begin
+        begin_of = np.append(chars, len(data))
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        first = np.cumsum(sizes) - sizes
+        n_grams = [np.maximum(sizes - n + 1, 0) for n in range(self.low, self.high + 1)]
+        counts = 1 + sum(n_grams)
+        start_at = np.cumsum(counts) - counts
+        where = [start_at]
+        spans = [(begin_of[first], begin_of[first + sizes])]
+        before = start_at + 1
+        for n, own in zip(range(self.low, self.high + 1), n_grams, strict=True):
+            inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            char = np.repeat(first, own) + inside
+            where.append(np.repeat(before, own) + inside)
+            spans.append((begin_of[char], begin_of[char + n]))
+            before = before + own
+        out = np.empty(int(counts.sum()), np.int32)
+        out[np.concatenate(where)] = crc32_of(data, np.concatenate([a for a, _ in spans]), np.concatenate([b for _, b in spans])) % self.buckets
+        return out, counts
+
     @staticmethod
     def words(text: str | None) -> list[str]:
         return [w for x in (text or "").lower().split() if (w := x.strip(_EDGE))]
 
 
 class Model:
-    """A trained classifier: what each row adds to the logit, and its weight in the mean. ``score`` gives the chance of label 1."""
-
-    def __init__(self, bag: Bag, logit_rows: np.ndarray, weight_rows: np.ndarray, bias: float):
-        self.bag, self.logit_rows, self.weight_rows, self.bias = bag, logit_rows, weight_rows, bias
-        self.word = Memo(self._word, 200_000)
-
-    def _word(self, raw: str) -> tuple[float, float]:
-        word = raw.strip(_EDGE)
-        if not word:
-            return (0.0, 0.0)
-        total, weight = 0.0, 0.0
-        for rows in self.bag.pieces(word):
-            total += float(self.logit_rows[rows].sum(dtype=np.float64))
-            weight += float(self.weight_rows[rows].sum(dtype=np.float64))
-        return (total, weight)
+    """A trained classifier: what each row adds to the logit, and its weight in the mean. ``scores`` gives the chances of label 1."""
+
+    def __init__(self, bag: Bag, logit_rows: np.ndarray, weight_rows: np.ndarray, bias: float, keep: int = 200_000):
+        self.bag, self.logit_rows, self.weight_rows, self.bias, self.keep = bag, logit_rows, weight_rows, bias, keep
+        self.both = np.stack([logit_rows, weight_rows], 1).astype(np.float64)
+        self.place: dict[str, int] = {}
+        self.values = np.zeros((0, 2))
+
+    def _sums(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the logit and to the weight."""
+        rows, n = self.bag.rows_of(words)
+        return np.add.reduceat(self.both[rows], np.cumsum(n) - n) if len(words) else np.zeros((0, 2))
+
+    def _long(self, word: str) -> np.ndarray:
+        """The same of one long word, a bounded piece of it at a time."""
+        return sum((self.both[rows].sum(0) for rows in self.bag.pieces(word)), np.zeros(2))
+
+    def _learn(self, raws: list[str]) -> None:
+        cores = [r.strip(_EDGE) for r in raws]
+        new = [*{c: None for c in cores if c}]
+        sums = dict(zip(new, range(len(new)), strict=True))
+        table = np.concatenate([self._sums(new), np.zeros((1, 2))])  # the last is that of words without a letter
+        self.place.update(zip(raws, range(len(self.values), len(self.values) + len(raws)), strict=True))
+        self.values = np.concatenate([self.values, table[[sums.get(c, len(new)) for c in cores]]])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        split = [(t or "").lower().split() for t in texts]
+        if len(self.place) > self.keep:
+            self.place, self.values = {}, self.values[:0]
+        place = self.place
+        unknown = [w for w in {w for own in split for w in own} if w not in place]
+        long = {w for w in unknown if len(w) > _LONG}
+        new = [w for w in unknown if w not in long] if long else unknown
+        for at in range(0, len(new), 8192):
+            self._learn(new[at : at + 8192])
+        sums = np.zeros((len(texts), 2))
+        for i, own in enumerate(split):
+            known = [w for w in own if w not in long] if long else own
+            if known:
+                sums[i] = self.values[np.fromiter(map(place.__getitem__, known), np.int64, len(known))].sum(0)
+            if len(known) < len(own):
+                for w in own:
+                    if w in long and (core := w.strip(_EDGE)):
+                        sums[i] += self._long(core)
+        z = self.bias + np.divide(sums[:, 0], sums[:, 1], out=np.zeros(len(texts)), where=sums[:, 1] > 0)
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
     def score(self, text: str | None) -> float:
-        total, weight, word = 0.0, 0.0, self.word
-        for raw in (text or "").lower().split():
-            a, b = word[raw] if len(raw) <= _LONG else self._word(raw)
-            total += a
-            weight += b
-        z = self.bias + (total / weight if weight else 0.0)
-        return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
+        return float(self.scores([text])[0])
 
 
 class Corpus:
@@ -121,11 +208,12 @@ class Corpus:
             sizes.append(len(own))
         self.word, self.count, self.first = _joined(found, np.int32), _joined(counts, np.float32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         del found, counts
-        rows = [np.concatenate([*bag.pieces(w)]) for w in known]
-        bag.rows.clear()
-        self.n = np.array([*map(len, rows)], np.int64)
-        self.rows = _joined(rows, np.int32)
-        del rows, known
+        words = [*known]
+        del known
+        made = [bag.rows_of(words[at : at + 8192]) for at in range(0, len(words), 8192)]
+        self.n = _joined([n for _, n in made], np.int64)
+        self.rows = _joined([r for r, _ in made], np.int32)
+        del made, words
         self._index()
         heard = np.zeros(bag.buckets, np.int64)
         for d in range(len(sizes)):
@@ -264,7 +352,8 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
         rows, weights, bias = shared.value
         own = Model(Bag(buckets), rows, weights, bias)
         for batch in batches:
-            scores = np.array([own.score(t) for t in batch.column("text").to_pylist()], np.float64)
+            texts = batch.column("text").to_pylist()
+            scores = np.concatenate([np.zeros(0), *(own.scores(texts[at : at + 512]) for at in range(0, len(texts), 512))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 5, 0).alias("held"))
@@ -281,6 +370,7 @@ def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_
         rows, weights, bias = shared.value
         own = Model(Bag(buckets), rows, weights, bias)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *(own.scores(texts[k : k + 512]) for k in range(0, len(texts), 512))]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,6 @@ import json
 import re
 import unicodedata
 from bisect import bisect_right
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, kept
 
 #: Texts of these alone lower-case letter by letter, don't compose, and have no white space but " \t\n\r".
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
@@ -310,10 +309,9 @@ class WordBpe:
         return PrefixTable(self, text)
 
 
-@lru_cache(maxsize=2)
 def shared_model(path: str) -> WordBpe:
     """The model of a file, made once in a Python worker and kept, with the words it remembers, for the worker's next tasks."""
-    return WordBpe(path)
+    return kept(("word_bpe", path), lambda: WordBpe(path))
 
 
 def _joins_before(c: str) -> bool:
