@@ -11,7 +11,6 @@ from tessaly.functions import transforms as tf
 from tessaly.operators import backtest as bt
 from tessaly.operators import derived, joins, replay
 from tessaly.operators.bars import bars
-from tessaly.plans import registry
 from tessaly.plans.panel import PANEL_SQL, date_key, trade_panel
 from tessaly.plans.ts_queries import KEYS, rounded
 from tessaly.sources import storage
@@ -185,13 +184,6 @@ def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All registered factors of all dates, from one panel."""
-    specs = registry.select()
-    out = registry.compute(trade_panel(spark, sf_dir), specs)
-    return out.select(*KEYS, *[rounded(F.col(s.id)).alias(s.id) for s in specs])
-
-
 def kernel_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.series_statistics(trade_panel(spark, sf_dir), "x")
 
@@ -263,7 +255,7 @@ QUERIES = {
     "factor_stats": stats, "factor_stats_summary": stats_summary, "bars_ohlc": event_bars, "join_asof": asof_prices, "join_interval": sectors, "join_point_in_time": disclosed, "join_shifted": shifted_labels,
     "trailing_quarters": trailing, "rebalance_dates": schedules, "date_functions": date_functions, "column_merge": column_merge, "missing_dates": missing_dates, "first_rows": first_rows, "top_names": top_names,
     "main_contract": main_contracts, "liquid_pool": liquid_pool, "strongest_peers": peers, "decayed_events": event_decay,
-    "date_transforms": transforms, "registered_factors": registered, "series_kernels": kernel_statistics, "strategy_replay": replayed, "stream_bars": windowed,
+    "date_transforms": transforms, "series_kernels": kernel_statistics, "strategy_replay": replayed, "stream_bars": windowed,
 }
 
 ORACLES = {
@@ -292,7 +284,6 @@ ORACLES = {
     "strongest_peers": "with p as (select distinct l_suppkey as member, l_partkey as k from lineitem), c as (select a.member, b.member as peer, count(*) as shared from p a join p b on a.k = b.k and a.member <> b.member group by all) select member, peer, shared, row_number() over (partition by member order by shared desc, peer)::integer as place from c qualify place <= 3",
     "decayed_events": "with e as (select user_id % 40 as code, ts::date as day, event_type from events), a as (select distinct last_day(day) as at from e) select e.code, a.at, e.event_type, round(sum(2.0 ** (-date_diff('day', e.day, a.at) / 20.0)), 6) + 0.0 as strength from e join a on e.day <= a.at and date_diff('day', e.day, a.at) <= 60 group by all",
     "stream_bars": f"select {_KEY.format('ts')} as trade_date, event_type, {_R('max(value)', 'min(value)').replace('as max(value)', 'as high').replace('as min(value)', 'as low')}, count(*) as n from events group by {_KEY.format('ts')}, event_type",
-    "registered_factors": f"with {PANEL_SQL}, s as (select trade_date, ts_code, present, lag(z, 6) over o as z6, z, case when count(z) over f6 >= 3 then stddev_pop(z) over f6 end as vol, case when count(x) over f6 >= 3 then ln(1 + sum(x) over f6) end as tu, case when count(x) over f3 >= 3 and sum(x) over f3 > 0 then ln(sum(x) over f3) end as li, list({{'x': x, 'z': z}}) over f12 as l from panel window o as (partition by ts_code order by trade_date), f3 as (partition by ts_code order by trade_date rows between 2 preceding and current row), f6 as (partition by ts_code order by trade_date rows between 5 preceding and current row), f12 as (partition by ts_code order by trade_date rows between 11 preceding and current row)), h as (select *, list_filter(l, lambda v: v.x is not null and v.z is not null) as q from s), m as (select *, len(q) as n, list_avg(list_transform(q, lambda v: v.x)) as mx, list_avg(list_transform(q, lambda v: v.z)) as mz from h), c as (select *, list_avg(list_transform(q, lambda v: (v.x - mx) * (v.z - mz))) as cxz, sqrt(list_avg(list_transform(q, lambda v: (v.x - mx) ** 2)) * list_avg(list_transform(q, lambda v: (v.z - mz) ** 2))) as sxz from m) select trade_date, ts_code, round(case when abs(z6) > 1e-12 then z / z6 - 1 end, 6) + 0.0 as momentum_6, round(vol, 6) + 0.0 as volatility_6, round(tu, 6) + 0.0 as turnover_6, round(case when n >= 6 and sxz > 1e-12 then cxz / sxz end, 6) + 0.0 as price_volume_corr_12, round(li, 6) + 0.0 as liquidity_sum_3 from c where present",
     "main_contract": _MAIN_CONTRACT, "date_transforms": _TRANSFORMS,
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
