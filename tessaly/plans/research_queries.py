@@ -286,14 +286,14 @@ select trade_date, ts_code, count(r) as n, round(sum(r * r), 5) + 0.0 as realise
 def analyst_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as reports: customers' nations are institutions, order keys by 20 instruments, prices forecasts."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("org"))
-    reports = _table(spark, sf_dir, "orders").join(customers, "o_custkey").select((F.col("o_orderkey") % 20).alias("code"), "org", (F.year("o_orderdate") + F.col("o_orderkey") % 2).cast("int").alias("year"), F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 1000).alias("eps"))
+    reports = _table(spark, sf_dir, "orders").join(customers, "o_custkey").select((F.col("o_orderkey") % 20).alias("code"), "org", (F.year("o_orderdate") + F.col("o_orderkey") % 2).cast("int").alias("year"), F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 997).alias("eps"))
     dates = reports.select(F.last_day("day").alias("day")).distinct()
     annual = derived.consensus(reports, dates, "code", "org", "year", "day", "eps", (90, 120, 183), 8)
     rolling = derived.rolling_year(annual, "code", "year", "day", "wide")
     return annual.join(rolling, ["code", "day"]).select("code", "year", "day", *[rounded(F.col(c)).alias(c) for c in ("strict", "wide", "rolling")], "used", "institutions")
 
 
-CONSENSUS = """with r as (select o_orderkey % 20 as code, c_nationkey as org, (year(o_orderdate) + o_orderkey % 2)::int as year, o_orderdate::date as day, o_totalprice / 1000 as eps from orders join customer on c_custkey = o_custkey), d as (select distinct last_day(day) as dt from r),
+CONSENSUS = """with r as (select o_orderkey % 20 as code, c_nationkey as org, (year(o_orderdate) + o_orderkey % 2)::int as year, o_orderdate::date as day, o_totalprice / 997 as eps from orders join customer on c_custkey = o_custkey), d as (select distinct last_day(day) as dt from r),
 n as (select code, org, year, dt, date_diff('day', day, dt) as age, eps from r join d on day <= dt and date_diff('day', day, dt) < 183), l as (select code, year, dt, org, min(age) as age, arg_max(eps, {'a': -age, 'v': eps}) as v from n group by all),
 a as (select code, year, dt, count(v) filter (where age < 90) as n1, avg(v) filter (where age < 90) as m1, count(v) filter (where age < 120) as n2, avg(v) filter (where age < 120) as m2, count(v) as n3, avg(v) as m3 from l group by all),
 w as (select code, year, dt, case when n1 >= 8 then m1 end as strict, case when n1 >= 8 then m1 when n2 >= 8 then m2 when n3 >= 8 then m3 end as wide, case when n1 >= 8 then 90 when n2 >= 8 then 120 when n3 >= 8 then 183 end as used, case when n1 >= 8 then n1 when n2 >= 8 then n2 when n3 >= 8 then n3 end as institutions from a),
