@@ -77,7 +77,7 @@ def _session(day, symbol, price, score=1.0, **more):
 
 def test_replay_of_limits_distributions_and_delistings(spark):
     rows = [
-        _session(1, "A", 10.0), _session(2, "A", 10.0, limit_up=True), _session(3, "A", 10.0, stock_rate=1.0, cash_rate=0.0, ex_date=4, pay_date=6, listing_date=6), _session(4, "A", 5.0), _session(5, "A", 5.0, score=None, limit_down=False), _session(6, "A", 5.0, delisted=True),
+        _session(1, "A", 10.0), _session(2, "A", 10.0, limit_up=True), _session(3, "A", 10.0, stock_rate=1.0, cash_rate=0.0, ex_date=4, pay_date=6, listing_date=6), _session(4, "A", 5.0), _session(5, "A", 5.0), _session(6, "A", 5.0, delisted=True),
     ]
     import pandas as pd
 
