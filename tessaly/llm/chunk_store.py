@@ -23,7 +23,8 @@ recipes. So a row lost, changed or moved anywhere is found.
 
 Defined results: a null text is empty, and an empty text has the end id alone;
 null ids come first; rows that repeat an id follow each other in an order fixed
-by their ids; an empty table gives an empty store.
+by their ids; a text of any length is cut into chunks of bounded size; columns of
+any other name play no part; an empty table gives an empty store.
 """
 
 from __future__ import annotations

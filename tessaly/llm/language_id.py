@@ -19,7 +19,8 @@ Predictions read whole texts, in the partitions they come in, without a shuffle.
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 rows without a language can't be learned from but are predicted; of equal code
 lengths the first language by code point wins; without training rows all is
-``und``; an empty table gives an empty table.
+``und``; equal texts have equal results; texts of any length are read whole;
+columns of any other name play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -12,7 +12,11 @@ nearest whole document (``copies``).
 
 Defined results: a null text has size 0; a null source is a source of its own,
 ordered last; repeated rows of one id and size share a cut evenly; where all
-sizes are 0 all targets are 0; an empty table gives an empty table.
+sizes are 0 all targets are 0; texts of any length count whole; columns of any
+other name, in any order, stay as they are; an empty table gives an empty table.
+
+Windows without a partition run over one row a source, or a source and range of
+keys, not over documents: sources are some thousands at most.
 """
 
 from __future__ import annotations

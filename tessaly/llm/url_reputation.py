@@ -14,8 +14,10 @@ else it joins by host and splits what is skewed.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and no rule; it is judged like any host without outcomes. Null or repeated
-ids are rows like any other; outcomes that are null count for nothing; an empty
-table gives an empty table.
+ids are rows like any other, and repeated rows have equal verdicts; of rules that
+fit, the longest wins, and no two have one length; outcomes that are null count
+for nothing; urls of any length are read whole; columns of any other name play
+no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations

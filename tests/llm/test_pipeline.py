@@ -1,10 +1,15 @@
 """The pipeline's stages on a small corpus: columns, order, and what each keeps."""
 
+import hashlib
 import random
 
+import public_tokenizers as tokenizers
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessaly.llm import bpe
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +49,29 @@ def test_stages(spark, corpus):
 
 
 def test_run(spark, corpus):
-    assert corpus_pipeline.run(spark, corpus).count() > 0
+    out = corpus_pipeline.run(spark, corpus)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()}
+    rows = out.collect()
+    reference = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert {r.doc_id for r in rows} <= {i for i in docs if i % 5 and i < 400}
+    for r in rows[:50]:
+        ids = reference.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_stages_of_odd_tables(spark, corpus, tmp_path):
+    """Empty tables, columns in another order and of clashing names, repeated ids, nulls and a very long text."""
+    long = " ".join(f"w{k}{chr(97 + k % 26)}" for k in range(60_000))
+    plain = " ".join(f"term{k % 90}x{k}" for k in range(90))
+    rows = [("k", plain, 7, "en", "s"), ("k", plain + " more", 7, "en", "s"), ("k", plain, 7, "en", "s"), ("k", long, 8, None, None), ("k", None, 9, "en", "s"), ("k", "", None, "en", None)]
+    docs = spark.createDataFrame(rows, "id string, text string, doc_id long, lang string, source string").withColumn("row", F.lit(1)).withColumn("label", F.lit("x")).withColumn("component", F.lit(2))
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = kept.count()
+            kept = stage(spark, kept, corpus)
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes and kept.count() <= 3 * before
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, corpus)
+        assert out.filter("not round_trip").count() == 0
+    kept = corpus_pipeline.drop_near_copies(spark, docs, corpus)
+    assert sorted(len(r.text or "") for r in kept.collect()) == sorted([0, 0, len(plain), len(long)])
