@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, in_sieve, kept, mix64, stored, words_of
+from .common import Memo, in_sieve, kept, lean, mix64, parts_of, stored, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 36, 7
@@ -73,7 +73,7 @@ def shingles(texts: list[str | None], words: Memo) -> tuple[np.ndarray, np.ndarr
 
 def word_hashes() -> Memo:
     """Hashes of words, kept in a Python worker for its next tasks."""
-    return kept(("word_hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w), 300_000))
+    return kept(("word_hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000))
 
 
 def bags(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,9 +87,21 @@ def bags(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[at], hashes[at], np.diff(np.append(at, len(text)))
 
 
-def signatures(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_texts: int, slots: int) -> np.ndarray:
-    """The earliest arrival by text and slot; rows of texts without shingles hold the largest time."""
+def signatures(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_texts: int, slots: int, block: int = 100_000) -> np.ndarray:
+    """The earliest arrival by text and slot; rows of texts without shingles hold the largest time.
+
+    Shingles are taken `block` at a time, each against the earliest so far, so
+    that a long text needs no more memory than many short ones.
+    """
     out = np.full(n_texts * slots, _NEVER, np.int64)
+    for at in range(0, len(text), block):
+        own = slice(at, at + block)
+        _arrivals(out, text[own], hashes[own], weights[own], n_texts, slots)
+    return out.reshape(n_texts, slots)
+
+
+def _arrivals(out: np.ndarray, text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_texts: int, slots: int) -> None:
+    """Moves the earliest arrivals `out` down by those of some shingles."""
     # one process for each interval that begins below the weight
     levels = np.where(weights > 1, np.ceil(np.log2(np.maximum(weights, 1))).astype(np.int64) + 1, 1)
     which = np.repeat(np.arange(len(text)), levels)
@@ -119,7 +131,6 @@ def signatures(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_text
         latest = out.reshape(n_texts, slots).max(1)
         going = time < latest[owner]
         seed, time, owner, weight, low, width = seed[going], time[going], owner[going], weight[going], low[going], width[going]
-    return out.reshape(n_texts, slots)
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -139,14 +150,13 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
         words = word_hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for part in parts_of(batch):
                 hashes, counts, prints = shingles(part.column("text").to_pylist(), words)
                 keys = band_keys(signatures(*bags(hashes, counts), len(counts), bands * rows), bands, rows)
                 listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints, pa.binary()), listed], ["id", "print", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, print binary, bands array<long>")
+    return docs.mapInArrow(lean(run), f"id {kind}, print binary, bands array<long>")
 
 
 def _bagged(docs: DataFrame, bits: int = 32) -> DataFrame:
@@ -159,8 +169,7 @@ def _bagged(docs: DataFrame, bits: int = 32) -> DataFrame:
     def run(batches):
         words = word_hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for part in parts_of(batch):
                 hashes, counts, _ = shingles(part.column("text").to_pylist(), words)
                 text, found, weights = bags(hashes, counts)
                 ends = np.cumsum(np.bincount(text, weights, len(counts)).astype(np.int64))
@@ -170,7 +179,7 @@ def _bagged(docs: DataFrame, bits: int = 32) -> DataFrame:
                 own = [np.sort(x).tobytes() for x in np.split(elements, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(own, pa.binary())], ["id", "bag"])
 
-    return docs.mapInArrow(run, f"id {kind}, bag binary")
+    return docs.mapInArrow(lean(run), f"id {kind}, bag binary")
 
 
 def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -207,7 +216,7 @@ def _verified(pairs: DataFrame, bagged: DataFrame, threshold: float) -> DataFram
                 keep.append(shared >= threshold * (small + large - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b").mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,7 +294,7 @@ def _exploded(bagged: DataFrame) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(len(own)), n))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own) if len(own) else np.zeros(0, np.int64))], ["id", "n", "element"])
 
-    return bagged.select("id", "bag").mapInArrow(run, f"id {kind}, n int, element long")
+    return bagged.select("id", "bag").mapInArrow(lean(run), f"id {kind}, n int, element long")
 
 
 def _classes(slim: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, bool, bool]:

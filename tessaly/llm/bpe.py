@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept
+from .common import Memo, kept, lean
 
 _FAR = 1 << 60
 
@@ -321,7 +321,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def decode_column(ids: Column, ranks_path: str) -> Column:

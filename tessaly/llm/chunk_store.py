@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_stored, ensure_checkpoint_dir, kept, mix64, stored
+from .common import Memo, drop_stored, ensure_checkpoint_dir, kept, lean, mix64, stored
 from .word_tokens import MARKS, WordBpe
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -167,7 +167,7 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "width", "hashes", "data"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {id_type}, n_tokens long, width int, hashes array<binary>, data array<binary>")
+    return slim.mapInArrow(lean(run), f"id {id_type}, n_tokens long, width int, hashes array<binary>, data array<binary>")
 
 
 def _recipe_rows(batches):
@@ -305,7 +305,7 @@ def read_digests(spark: SparkSession, path: str, id_name: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], [id_name, "start", "n_tokens", "ids_crc32"])
 
     placed = recipes.drop("hashes").join(found, ["part", "position"], "left").join(offsets, "part")
-    return placed.select("id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks").mapInArrow(run, f"`{id_name}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return placed.select("id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks").mapInArrow(lean(run), f"`{id_name}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def check_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -333,7 +333,7 @@ def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None, id
             ids = [np.frombuffer(b"".join(c["data"] for c in chunks), f"<u{w}").astype(np.int32) for w, chunks in zip(batch.column("width").to_pylist(), batch.column("chunks").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], [id_name, "ids"])
 
-    return joined.select("id", "width", "chunks").mapInArrow(run, f"`{id_name}` {id_type}, ids array<int>")
+    return joined.select("id", "width", "chunks").mapInArrow(lean(run), f"`{id_name}` {id_type}, ids array<int>")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,40 @@ class Memo(dict):
         return value
 
 
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches that gives its worker's free memory back at the end of a task, as workers wait for others beside the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    """Returns what Arrow's pool and the C library keep of freed memory; where there is no such call, nothing."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def parts_of(batch: pa.RecordBatch, rows: int = 400, characters: int = 400_000):
+    """Slices of a batch with a column `text`, of some rows and characters at most; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (total + n > characters or i - begin >= rows):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 _KEPT: dict[tuple, object] = {}
 
 

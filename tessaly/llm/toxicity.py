@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, lean
 
 #: Characters that a word keeps: letters, digits and what misspellings put in their place.
 _EDGE = ".,;:!?\"'()[]{}|*#%&$<>-_"
@@ -357,7 +357,7 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 5, 0).alias("held"))
-    return slim.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(lean(run), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4_000) -> DataFrame:
@@ -373,4 +373,4 @@ def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_
             texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *(own.scores(texts[k : k + 512]) for k in range(0, len(texts), 512))]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

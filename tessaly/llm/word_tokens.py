@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept
+from .common import Memo, kept, lean
 
 #: Texts of these alone lower-case letter by letter, don't compose, and have no white space but " \t\n\r".
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
@@ -443,4 +443,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit", "kept_chars"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
+    return slim.mapInArrow(lean(run), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
