@@ -10,7 +10,7 @@ from tessaly.functions.timeseries import Rolling, ewm
 from tessaly.operators import bars, derived, joins, replay
 from tessaly.operators.backtest import return_metrics
 from tessaly.operators.neutralize import residualise
-from tessaly.plans import engine_queries, registry
+from tessaly.plans import registry, research_queries
 from tessaly.plans.panel import densify
 from tessaly.sources import storage
 from tessaly.streaming.bars import windowed_bars
@@ -135,9 +135,10 @@ def test_stream_bars_equal_table_bars(spark, tmp_path):
 
 def test_registered_factors_cover_all_dates_unless_asked(spark):
     rows = [(d, "a", d != 19961130, float(d % 97), float(d % 89)) for y in (1995, 1996, 1997) for d in (y * 10000 + m * 100 + 30 for m in range(1, 13))]
-    panel, specs = spark.createDataFrame(rows, "trade_date int, ts_code string, present boolean, x double, z double"), registry.select()
+    panel = spark.createDataFrame(rows, "trade_date int, ts_code string, present boolean, turnover double, close double")
+    specs = registry.select(["momentum_3", "turnover_6", "price_place_12"])
     whole = {r.trade_date: r for r in registry.compute(panel, specs).collect()}
     assert set(whole) == {r[0] for r in rows} - {19961130}
     part = {r.trade_date: r for r in registry.compute(panel, specs, 19960301, 19970228).collect()}
     assert part == {d: r for d, r in whole.items() if 19960301 <= d <= 19970228}
-    assert any(d // 10000 != 1996 for d in {r.trade_date for r in engine_queries.QUERIES["registered_factors"](spark, "/root/testdata/sf0.001").collect()})
+    assert any(d // 10000 != 1996 for d in {r.trade_date for r in research_queries.QUERIES["factor_library"](spark, "/root/testdata/sf0.001").collect()})
