@@ -225,7 +225,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     ordered = recipes.repartitionByRange(n, F.col("id"), F.xxhash64("hashes")).sortWithinPartitions("id", F.xxhash64("hashes"), "hashes")
     ordered.mapInArrow(_recipe_rows, f"part int, position long, start long, id {id_type}, n_tokens long, width int, hashes array<binary>, root binary").write.parquet(f"{path}/recipes")
     written = docs.sparkSession.read.parquet(f"{path}/recipes")
-    merkle_tree(written, _largest_part(written)).coalesce(1).write.parquet(f"{path}/manifest")
+    merkle_tree(written, _largest_part(written)).write.parquet(f"{path}/manifest")
     drop_stored(staged)
 
 
