@@ -66,15 +66,25 @@ class Sessions:
         return self.days.filter(F.col("_day").between(start, end)).select(F.col("_day").alias("trade_date"))
 
 
+def _to_cents(price: Column) -> Column:
+    """A price to two decimals as double arithmetic gives it: whole hundredths of `100 * price`, halves away from zero.
+
+    Spark's own ``round`` goes by the shortest decimal that the double prints
+    as, which puts halves of a cent elsewhere.
+    """
+    hundredths = F.round(price * 100)
+    return F.when(F.abs(hundredths) < float("inf"), hundredths / 100).otherwise(price)
+
+
 def tradeability(prices: DataFrame, limits: DataFrame, flagged: DataFrame, date: str = "trade_date", code: str = "ts_code", close: str = "close") -> DataFrame:
     """Flags of each price row: at its upper limit, at its lower, at either, and whether `flagged` (date, code) names it.
 
-    Prices are compared to two decimals; a missing one is at no limit.
+    Prices are compared to two decimals, each rounded as a double; a missing one is at no limit.
     """
     joined = prices.select(date, code, close).join(limits.select(date, code, "up_limit", "down_limit"), [date, code], "left")
     marked = joined.join(flagged.select(date, code).distinct().withColumn("is_st", F.lit(True)), [date, code], "left")
-    at = F.round(F.col(close), 2)
-    up, down = F.coalesce(at >= F.round("up_limit", 2), F.lit(False)), F.coalesce(at <= F.round("down_limit", 2), F.lit(False))
+    at, upper, lower = _to_cents(F.col(close)), _to_cents(F.col("up_limit")), _to_cents(F.col("down_limit"))
+    up, down = F.coalesce(at >= upper, F.lit(False)), F.coalesce(at <= lower, F.lit(False))
     return marked.select(date, code, up.alias("is_limit_up"), down.alias("is_limit_down"), (up | down).alias("is_limit"), F.coalesce("is_st", F.lit(False)).alias("is_st"))
 
 

@@ -227,3 +227,17 @@ def test_holding_needs_its_returns(spark):
 def test_masks(spark):
     rows = spark.createDataFrame([(1, "a", 0.5, True), (1, "b", 0.5, None), (1, "c", None, False)], "trade_date int, ts_code string, weight double, entry boolean")
     assert [r.weight for r in evaluation.masked_weights(rows, "weight", "entry").orderBy("ts_code").collect()] == [0.5, 0.0, None]
+
+
+def test_prices_meet_limits_as_doubles_round(spark):
+    """Halves of a cent, of which many print as a shorter decimal than the double is, and values without cents."""
+    import duckdb
+
+    closes = [*(round(0.005 + k / 200, 4) for k in range(1500)), 0.0, -0.125, float("nan"), float("inf"), 1e307, None]
+    limits = [None if x is None else x * 1.5 for x in closes]
+    frame = spark.createDataFrame([(1, f"S{i}", closes[i], limits[(i * 2 // 3)], limits[(i * 2 // 3)]) for i in range(len(closes))], "trade_date int, ts_code string, close double, up_limit double, down_limit double")
+    got = {r.ts_code: (r.is_limit_up, r.is_limit_down) for r in sessions.tradeability(frame, frame, frame.limit(0)).collect()}
+    con = duckdb.connect()
+    sql = "select coalesce(round(?::double, 2) >= round(?::double, 2), false), coalesce(round(?::double, 2) <= round(?::double, 2), false)"
+    want = {r.ts_code: con.execute(sql, [r.close, r.up_limit, r.close, r.down_limit]).fetchone() for r in frame.collect()}
+    assert got == want and sum(u and d for u, d in want.values()) > 400
