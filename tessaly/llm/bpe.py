@@ -8,11 +8,13 @@ holds all ways to stand inside the next token: the last whole token and the
 bytes since. A way dies when its bytes start no token, so the tokens before the
 border on which all ways agree are final after a bounded lookahead and leave.
 States and transitions are made when first met and forgotten together beyond a
-limit, so memory is bounded.
+limit, so memory is bounded. A piece's last byte only asks what is final there,
+so it makes no state.
 
-Decoding. Tokens become bytes, and a UTF-8 automaton, composed token by token,
-tells where whole characters end, so text leaves in pieces of bounded size even
-where a character spans tokens.
+Decoding. Tokens become bytes, a bounded number at a time, and a UTF-8 automaton,
+run from where the last character of such a part begins, tells whether it is
+whole, so text leaves in pieces of bounded size even where a character spans
+tokens.
 
 Defined results: null is the empty text; an empty text has no ids; whitespace,
 special strings and any other text are ordinary text. Rows are independent, so
@@ -25,14 +27,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, lean
+from .common import Memo, Recent, kept, lean, parts_of
 
 _FAR = 1 << 60
 
@@ -104,7 +106,7 @@ class Transducer:
         """Whether joining bytes ever gives this token."""
         return self.splits[token] != (token, b"")
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """Whether the merge result of both tokens' bytes is these two tokens; of the second's, where there is no first.
 
         It isn't if, while both are built, some part that ends at the border
@@ -112,10 +114,11 @@ class Transducer:
         joined before either grows. The parts are met by undoing the latest
         joining on either side.
         """
-        right = self.tokens[pair[1]]
-        if pair[0] == len(self.tokens):
+        first, second = pair >> self.NODE, pair & (1 << self.NODE) - 1
+        right = self.tokens[second]
+        if first == len(self.tokens):
             return self.made(right)
-        left = self.tokens[pair[0]]
+        left = self.tokens[first]
         ranks, splits = self.ranks, self.splits
         if not (self.made(left) and self.made(right)):
             return False
@@ -141,7 +144,7 @@ class Transducer:
             node = way & low
             if (to := child.get(node << 8 | byte)) is None:
                 continue
-            if whole < 0 and (token := ends[to]) >= 0 and fits[way >> bits, token]:
+            if whole < 0 and (token := ends[to]) >= 0 and fits[way - node | token]:
                 whole = token
             if inner[to]:
                 ways.append(way - node + to)
@@ -155,6 +158,15 @@ class Transducer:
         self.moves[state << 8 | byte] = out = (k, whole)
         return out
 
+    def _final(self, state: int, byte: int) -> int:
+        """The last token of a piece that ends with this byte: what ``_move`` gives, without a next state."""
+        child, ends, fits, low = self.child, self.ends, self.fits, (1 << self.NODE) - 1
+        for way in self.states[state]:
+            node = way & low
+            if (to := child.get(node << 8 | byte)) is not None and (token := ends[to]) >= 0 and fits[way - node | token]:
+                return token
+        raise ValueError("the ranks lack a single byte")
+
     def _chain(self, last: list[int], at: int) -> list[int]:
         """The tokens of the first `at` bytes, from the last to the first."""
         out = []
@@ -192,12 +204,14 @@ class Transducer:
         if len(self.states) > self.max_states:
             self._reset()
         state, last, done, moves = 0, [], [], self.moves
-        for byte in piece:
+        for byte in piece[:-1]:
             state, token = moves.get(state << 8 | byte) or self._move(state, byte)
             last.append(token)
             if len(last) >= span and (cut := self._agreed(last, state)):
                 done += self._chain(last, cut)[::-1]
                 del last[:cut]
+        if piece:
+            last.append(self._final(state, piece[-1]))
         done += self._chain(last, len(last))[::-1]
         return [*map(self.ids.__getitem__, done)]
 
@@ -228,28 +242,29 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int], flush: int = 1 << 16):
         self.tokens = {i: t for t, i in ranks.items()}
-        self.flush = flush
-        self.after = Memo(self._after, 300_000)
-
-    def _after(self, key: tuple[int, int]) -> int:
-        state, token = key
-        for byte in self.tokens[token]:
-            state = utf8_resume(state, byte)
-        return state
+        self.flush, self.at_once = flush, max(1, flush >> 4)
+
+    @staticmethod
+    def whole(data: bytes) -> int:
+        """Up to where the bytes are whole characters or no UTF-8: all of them, or all but a last character that may go on."""
+        for at in range(len(data) - 1, max(-1, len(data) - 5), -1):
+            if data[at] & 0xC0 != 0x80:  # the automaton stands between characters here, whatever came before
+                state = 0
+                for byte in data[at:]:
+                    state = utf8_resume(state, byte)
+                return len(data) if state in (0, ERROR) else at
+        return len(data)
 
     def stream(self, ids: Iterable[int]) -> Iterator[bytes]:
         """Parts that each end where a character ends, as far as the bytes are UTF-8; the last holds what is left."""
-        held, size, state, tokens, after = [], 0, 0, self.tokens, self.after
-        for i in ids:
-            part = tokens[i]
-            held.append(part)
-            size += len(part)
-            state = after[state, i]
-            if size >= self.flush and state in (0, ERROR):
-                yield b"".join(held)
-                held, size, state = [], 0, 0
+        held, ids, bytes_of = b"", iter(ids), self.tokens.__getitem__
+        while part := b"".join(map(bytes_of, islice(ids, self.at_once))):
+            held += part
+            if len(held) >= self.flush and (cut := self.whole(held)):
+                yield held[:cut]
+                held = held[cut:]
         if held:
-            yield b"".join(held)
+            yield held
 
     def text(self, ids: Iterable[int]) -> str:
         """The text of whole documents; bytes that aren't UTF-8 become U+FFFD."""
@@ -267,15 +282,11 @@ class Encoder:
     """Whole texts in, ids out: the pattern cuts pieces, short pieces are remembered up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000, longest: int = 48):
-        self.transducer, self.find, self.longest = Transducer(ranks), pieces_pattern(pattern).findall, longest
-        self.known = Memo(lambda piece: (*self.transducer.encode(piece.encode()),), keep)
+        self.transducer, self.find = Transducer(ranks), pieces_pattern(pattern).findall
+        self.known = Recent(lambda piece: (*self.transducer.encode(piece.encode()),), keep, longest)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        if len(text) > self.longest and any(map(self.longest.__lt__, map(len, pieces))):
-            known, run = self.known, self.transducer.encode
-            return [*chain.from_iterable(known[p] if len(p) <= self.longest else run(p.encode()) for p in pieces)]
-        return [*chain.from_iterable(map(self.known.__getitem__, pieces))]
+        return [*chain.from_iterable(map(self.known.__getitem__, self.find(text)))]
 
 
 def shared_coders(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder, dict[int, str]]:
@@ -299,7 +310,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches):
         encoder, decoder, names = shared_coders(ranks_path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             n, digests, decoded, same, kept = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""

@@ -88,10 +88,39 @@ class Memo(dict):
         return value
 
 
-def lean(run: Callable) -> Callable:
-    """A function of Arrow batches that gives its worker's free memory back at the end of a task, as workers wait for others beside the executor."""
+class Recent(dict):
+    """A dict that computes what it lacks and forgets what was asked for longest ago, so that it holds `limit` entries at most.
+
+    Two halves: a full one becomes the old one, from which what is asked for
+    again returns. Keys longer than `longest` are computed each time. No value is None.
+    """
+
+    def __init__(self, make: Callable, limit: int, longest: int):
+        super().__init__()
+        self.make, self.half, self.longest, self.old = make, max(1, limit // 2), longest, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def lean(run: Callable, keeps: bool = True) -> Callable:
+    """A function of Arrow batches that gives its worker's free memory back at the end of a task, as workers wait for others beside the executor.
+
+    One that `keeps` nothing for its next tasks gives back first what another operator kept.
+    """
 
     def wrapped(batches):
+        if not keeps:
+            forget()
         try:
             yield from run(batches)
         finally:
@@ -128,11 +157,18 @@ _KEPT: dict[tuple, object] = {}
 def kept(key: tuple, make: Callable):
     """What `make` gives, kept in a Python worker for its next tasks; only the last one asked for, so that a worker that serves one operator after another holds the caches of one."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Gives back what the worker keeps for its next tasks."""
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over an array of uint64."""
     with np.errstate(over="ignore"):

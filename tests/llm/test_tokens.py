@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessaly.llm import bpe, chunk_store, word_tokens
+from tessaly.llm import bpe, chunk_store, common, word_tokens
 
 RANKS = tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,40 @@ def test_decoding_goes_on_after_bad_bytes():
             assert b"".join(decoder.stream(ids)) == data and decoder.text(ids) == data.decode("utf-8", "replace")
 
 
+def test_short_texts_decode_without_the_automaton(monkeypatch):
+    """A part shorter than the bound leaves as it is: a step of the automaton for each token was a fifth of the time."""
+    ranks, steps = bpe.load_ranks(RANKS), []
+    monkeypatch.setattr(bpe, "utf8_resume", lambda *a, resume=bpe.utf8_resume: steps.append(a) or resume(*a))
+    text = "été 中文 😀 " * 400
+    ids = bpe.Encoder(ranks, tokenizers.PATTERN).encode(text)
+    assert b"".join(bpe.Decoder(ranks).stream(ids)) == text.encode() and not steps
+    parts = [*bpe.Decoder(ranks, flush=64).stream(ids)]
+    assert "".join(p.decode() for p in parts) == text and len(parts) > 50 and all(len(p) < 64 + 4 * 128 for p in parts)
+
+
+def test_last_bytes_make_no_state():
+    ranks = bpe.load_ranks(RANKS)
+    run = bpe.Transducer(ranks)
+    for end in range(0x61, 0x7B):
+        piece = b" qzxjvkw" + bytes((end,))
+        assert run.encode(piece) == [ranks[t] for t in bpe.merge(piece, ranks)]
+    assert len(run.moves) == 8
+
+
+def test_recent_pieces_stay():
+    made = []
+    memo = common.Recent(lambda k: made.append(k) or (k,), 4, 3)
+    for k in ["a", "b", "a", "c", "a", "d", "a", "long", "long", "e", "a"]:
+        assert memo[k] == (k,) and len(memo) + len(memo.old) <= 4
+    assert made.count("a") == 1 and made.count("long") == 2
+
+
+def test_a_worker_gives_back_what_another_operator_kept():
+    assert common.kept(("one",), lambda: 1) == 1 and common.kept(("one",), lambda: 2) == 1
+    assert [*common.lean(lambda batches: iter([len(common._KEPT)]))([])] == [1]
+    assert [*common.lean(lambda batches: iter([len(common._KEPT)]), keeps=False)([])] == [0]
+
+
 def test_encode_documents(spark, docs, reference):
     found = sorted((tuple(r) for r in bpe.encode_documents(docs, RANKS, tokenizers.PATTERN).collect()), key=str)
     want = []
