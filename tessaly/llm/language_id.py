@@ -214,4 +214,4 @@ def identify_languages(docs: DataFrame, learned_docs: DataFrame | None = None, i
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held"))
-    return slim.mapInArrow(lean(run), f"`{id_col}` {id_type}, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(lean(run, keeps=False), f"`{id_col}` {id_type}, held_out boolean, lang_pred string, score double")

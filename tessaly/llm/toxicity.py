@@ -174,7 +174,7 @@ class Model:
         unknown = [w for w in {w for own in split for w in own} if w not in place]
         long = {w for w in unknown if len(w) > _LONG}
         new = [w for w in unknown if w not in long] if long else unknown
-        for at in range(0, len(new), 8192):
+        for at in range(0, len(new), 2048):  # their n-grams are some MB of arrays
             self._learn(new[at : at + 8192])
         sums = np.zeros((len(texts), 2))
         for i, own in enumerate(split):
@@ -188,6 +188,10 @@ class Model:
         z = self.bias + np.divide(sums[:, 0], sums[:, 1], out=np.zeros(len(texts)), where=sums[:, 1] > 0)
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
+    def column_scores(self, texts: pa.Array, rows: int = 512) -> np.ndarray:
+        """The scores of an Arrow column, of which some rows at a time become strings."""
+        return np.concatenate([np.zeros(0), *(self.scores(texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows))])
+
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
 
@@ -352,12 +356,11 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
         rows, weights, bias = shared.value
         own = Model(Bag(buckets), rows, weights, bias)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scores = np.concatenate([np.zeros(0), *(own.scores(texts[at : at + 512]) for at in range(0, len(texts), 512))])
+            scores = own.column_scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 5, 0).alias("held"))
-    return slim.mapInArrow(lean(run), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(lean(run, keeps=False), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4_000) -> DataFrame:
@@ -370,7 +373,6 @@ def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_
         rows, weights, bias = shared.value
         own = Model(Bag(buckets), rows, weights, bias)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *(own.scores(texts[k : k + 512]) for k in range(0, len(texts), 512))]) < 0.5))
+            yield batch.filter(pa.array(own.column_scores(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return docs.mapInArrow(lean(run, keeps=False), docs.schema)
