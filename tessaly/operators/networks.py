@@ -6,25 +6,66 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaly.functions.timeseries import EPS
 
 
+def _shared(left: pa.ListArray, right: pa.ListArray, width: int = 4096) -> np.ndarray:
+    """How many values each list of `left` shares with each of `right`: products of 0/1 matrices, some columns at a time."""
+    codes = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode().indices.to_numpy()
+    row_a, row_b = (np.repeat(np.arange(len(x)), x.value_lengths().to_numpy()) for x in (left, right))
+    code_a, code_b = codes[: len(row_a)], codes[len(row_a) :]
+    both = np.intersect1d(code_a, code_b)
+    found = np.zeros((len(left), len(right)))
+    for at in range(0, len(both), width):
+        part, sides = both[at : at + width], []
+        for rows, own, n in ((row_a, code_a, len(left)), (row_b, code_b, len(right))):
+            place = np.minimum(np.searchsorted(part, own), len(part) - 1)
+            held = part[place] == own
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[rows[held], place[held]] = 1
+            sides.append(matrix)
+        found += sides[0] @ sides[1].T
+    return found
+
+
 def shared_links(memberships: DataFrame, least: int, block: int = 500) -> DataFrame:
     """(member, peer, w) of members that share `least` or more, w their number; both directions.
 
-    The members of one `on` meet block by block, and pairs are counted in each
-    task before they move.
+    Members are packed into blocks of about `block`, and each two blocks meet
+    once, as a matrix product, so no pair is moved for each thing that it shares.
     """
-    once = memberships.select("member", "on").distinct()
-    blocks = once.groupBy("on").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("n")).select(F.col("on").alias("_on"), "n")
-    placed = once.join(blocks, F.col("on") == F.col("_on")).drop("_on").withColumn("own", F.pmod(F.xxhash64("member"), "n"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    left = placed.select("on", "member", F.col("own").alias("a"), others.alias("b"))
-    right = placed.select("on", F.col("member").alias("peer"), F.col("own").alias("b"), others.alias("a"))
-    return left.join(right, ["on", "a", "b"]).filter("member <> peer").groupBy("member", "peer").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= least)
+    once = memberships.select("member", "on").dropna().distinct()
+    n = -(-once.select("member").distinct().count() // block) or 1
+    lists = once.groupBy("member").agg(F.collect_list("on").alias("ons")).withColumn("own", F.pmod(F.xxhash64("member"), F.lit(n)))
+    packed = lists.groupBy("own").agg(F.collect_list(F.struct("member", "ons")).alias("held"))
+    left = packed.select(F.col("own").alias("a"), F.explode(F.sequence(F.col("own"), F.lit(n - 1).cast("long"))).alias("b"), "held")
+    right = packed.select(F.col("own").alias("b"), F.col("held").alias("other"))
+    met = left.join(right, "b").repartition(n * (n + 1) // 8 + 1, "a", "b").select("a", "b", "held", "other")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                held = batch.column("held")[i].values
+                other = held if same else batch.column("other")[i].values
+                (members, own), (peers, others) = (x.flatten() for x in (held, other))
+                w = _shared(own, others)
+                keep = w >= max(least, 1)
+                if same:
+                    np.fill_diagonal(keep, False)
+                r, c = np.nonzero(keep)
+                x, y, w = members.take(pa.array(r)), peers.take(pa.array(c)), pa.array(w[r, c].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([x, y, w], ["member", "peer", "w"])
+                if not same:
+                    yield pa.RecordBatch.from_arrays([y, x, w], ["member", "peer", "w"])
+
+    kind = memberships.schema["member"].dataType.simpleString()
+    return met.mapInArrow(run, f"member {kind}, peer {kind}, w long")
 
 
 def _mean_of_peers(links: DataFrame, values: DataFrame, out: str) -> DataFrame:
@@ -33,12 +74,30 @@ def _mean_of_peers(links: DataFrame, values: DataFrame, out: str) -> DataFrame:
     return held.groupBy("member").agg(F.count(F.lit(1)).alias("neighbours"), (F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias(out))
 
 
+def _two_steps(links: DataFrame) -> DataFrame:
+    """(member, peer, w) of members two steps apart that aren't linked, w the sum over ways of the products of weights.
+
+    Where nearly all members are linked, the few pairs that aren't look up their
+    ways; else all ways are walked, whichever makes fewer rows.
+    """
+    degrees = links.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
+    n, once, twice = degrees.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n").cast("double") ** 2)).first()
+    second = links.select(F.col("member").alias("via"), F.col("peer").alias("far"), F.col("w").alias("w2"))
+    first = links.select("member", F.col("peer").alias("via"), "w")
+    ways = F.sum(F.col("w") * F.col("w2")).alias("w")
+    if n and (n * (n - 1) - once) * (once / n) + n * n < twice:
+        members = degrees.select("member")
+        apart = members.crossJoin(members.withColumnRenamed("member", "far")).filter("member <> far").join(links.select("member", F.col("peer").alias("far")), ["member", "far"], "left_anti")
+        walked = apart.join(first, "member").join(second, ["via", "far"]).groupBy("member", "far").agg(ways)
+        return walked.withColumnRenamed("far", "peer")
+    two = first.join(second, "via").filter("far <> member").groupBy("member", "far").agg(ways).withColumnRenamed("far", "peer")
+    return two.join(links.select("member", "peer"), ["member", "peer"], "left_anti")
+
+
 def neighbour_means(links: DataFrame, values: DataFrame) -> DataFrame:
     """(member, neighbours, direct, indirect): the mean of direct neighbours by weight, and of those two steps away that aren't direct, by products of weights."""
-    second = links.select(F.col("member").alias("peer"), F.col("peer").alias("far"), F.col("w").alias("w2"))
-    two = links.join(second, "peer").filter("far <> member").groupBy("member", "far").agg(F.sum(F.col("w") * F.col("w2")).alias("w")).withColumnRenamed("far", "peer")
-    only = two.join(links.select("member", "peer"), ["member", "peer"], "left_anti")
-    indirect = _mean_of_peers(only, values, "indirect").drop("neighbours")
+    links = links.persist(StorageLevel.DISK_ONLY)
+    indirect = _mean_of_peers(_two_steps(links), values, "indirect").drop("neighbours")
     return _mean_of_peers(links, values, "direct").join(indirect, "member", "left")
 
 

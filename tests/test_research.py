@@ -241,3 +241,13 @@ def test_prices_meet_limits_as_doubles_round(spark):
     sql = "select coalesce(round(?::double, 2) >= round(?::double, 2), false), coalesce(round(?::double, 2) <= round(?::double, 2), false)"
     want = {r.ts_code: con.execute(sql, [r.close, r.up_limit, r.close, r.down_limit]).fetchone() for r in frame.collect()}
     assert got == want and sum(u and d for u, d in want.values()) > 400
+
+
+@pytest.mark.parametrize("pairs", [[(0, 1), (2, 5)], [(a, b) for a in range(8) for b in range(a + 1, 8) if b - a > 2]])
+def test_two_steps_of_dense_and_sparse_links(spark, pairs):
+    w = {k: 1 + sum(k) for a, b in itertools.combinations(range(8), 2) if (a, b) not in pairs for k in ((a, b), (b, a))}
+    links = spark.createDataFrame([(*k, n) for k, n in w.items()], "member long, peer long, w long")
+    found = networks._two_steps(links)
+    ways = {(a, b): sum(w.get((a, k), 0) * w.get((k, b), 0) for k in range(8)) for a in range(8) for b in range(8) if a != b and (a, b) not in w}
+    assert {(r.member, r.peer): r.w for r in found.collect()} == {k: n for k, n in ways.items() if n}
+    assert ("Join Cross" in found._jdf.queryExecution().analyzed().toString()) == (len(pairs) == 2)  # of all pairs, those that aren't linked
