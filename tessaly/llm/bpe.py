@@ -11,6 +11,11 @@ States and transitions are made when first met and forgotten together beyond a
 limit, so memory is bounded. A piece's last byte only asks what is final there,
 so it makes no state.
 
+Short pieces, of which most are met once, run through the same transducer many
+at a time: a byte of all of them is a step over flat arrays of their ways, which
+are left undetermined as a state that isn't met again isn't worth making. At most
+one way ends whole at a byte, since a prefix has one encoding.
+
 Decoding. Tokens become bytes, a bounded number at a time, and a UTF-8 automaton,
 run from where the last character of such a part begins, tells whether it is
 whole, so text leaves in pieces of bounded size even where a character spans
@@ -27,14 +32,16 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Recent, kept, lean, parts_of
+from .common import Memo, Recent, kept, lean, mix64, parts_of, small_batches
 
 _FAR = 1 << 60
 
@@ -65,6 +72,7 @@ class Transducer:
     """
 
     NODE = 20  # bits of a trie node
+    PAIRS = 1 << 19  # places of pairs met lately
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_pairs: int = 250_000):
         self.ranks, self.tokens = ranks, [*ranks]
@@ -82,7 +90,7 @@ class Transducer:
                     self.inner.append(False)
                 node = to
             self.ends[node] = k
-        if len(self.ends) >> self.NODE:
+        if len(self.ends) >> self.NODE:  # so that an edge's key is an int32 too
             raise ValueError("the token trie has too many nodes")
         self.max_states = max_states
         self.splits = Memo(self._split, 2 * len(ranks))
@@ -197,6 +205,81 @@ class Transducer:
                 self._depths[to] = self._depths[key >> 8] + 1
         return self._depths
 
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, ...]:
+        """The trie as arrays: sorted keys of its edges and where they lead; by node the token and whether longer ones go on; by token its length and id."""
+        keys, to = np.fromiter(self.child, np.int64, len(self.child)), np.fromiter(self.child.values(), np.int32, len(self.child))
+        order = np.argsort(keys)
+        return keys[order].astype(np.int32), to[order], np.array(self.ends, np.int32), np.array(self.inner, bool), np.array(self.lengths, np.int32), np.array(self.ids, np.int64)
+
+    @cached_property
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs met lately, each at the place of its hash, and whether they fit."""
+        return np.full(self.PAIRS, -1, np.int64), np.zeros(self.PAIRS, bool)
+
+    def fits_all(self, pairs: np.ndarray) -> np.ndarray:
+        """``_fits`` of many pairs; those met lately aren't computed again."""
+        held, known = self.met
+        place = (mix64(pairs.astype(np.uint64)) & np.uint64(self.PAIRS - 1)).astype(np.int64)
+        out = known[place]
+        if len(new := np.flatnonzero(held[place] != pairs)):
+            asked, inverse = np.unique(pairs[new], return_inverse=True)
+            found = np.fromiter(map(self._fits, asked.tolist()), bool, len(asked))[inverse]
+            out[new] = found
+            order = np.argsort(place[new])  # of pairs with one place, the same one stays in both arrays
+            last = np.append(np.diff(place[new][order]) != 0, True)
+            chosen = new[order[last]]
+            held[place[chosen]], known[place[chosen]] = pairs[chosen], out[chosen]
+        return out
+
+    def encode_many(self, pieces: list[bytes], at_once: int = 1 << 14) -> list[tuple[int, ...]]:
+        """The ids of each of many pieces, none empty, as ``encode`` gives them."""
+        out = [None if (whole := self.ranks.get(p)) is None else (whole,) for p in pieces]
+        order = sorted((i for i, ids in enumerate(out) if ids is None), key=lambda i: len(pieces[i]), reverse=True)
+        for at in range(0, len(order), at_once):
+            own = order[at : at + at_once]
+            for i, ids in zip(own, self._run([pieces[i] for i in own]), strict=True):
+                out[i] = ids
+        return out
+
+    def _run(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """The ids of pieces, longest first, a byte of all of them at a time."""
+        keys, child, ends, inner, lengths, ids = self.flat
+        data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = np.cumsum(size) - size
+        last = np.empty(len(data), np.int32)  # the last token of the bytes up to each
+        going = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "left")  # by k: how many pieces have more than k bytes
+        piece, token, node = np.arange(len(pieces)), np.full(len(pieces), len(self.tokens), np.int64), np.zeros(len(pieces), np.int64)
+        for k in range(int(size[0])):
+            key = node << 8 | data[first[piece] + k]
+            edge = np.minimum(np.searchsorted(keys, key.astype(np.int32)), len(keys) - 1)
+            alive = np.flatnonzero(keys[edge] == key)
+            piece, token, node = piece[alive], token[alive], child[edge[alive]]
+            end = ends[node]
+            whole = np.flatnonzero(end >= 0)
+            whole = whole[self.fits_all(token[whole] << self.NODE | end[whole])]
+            if len(whole) != going[k]:
+                raise ValueError("the ranks lack a single byte")
+            last[first[piece[whole]] + k] = end[whole]
+            on = np.flatnonzero(inner[node] & (piece < going[k + 1]))
+            new = whole[piece[whole] < going[k + 1]]
+            piece, token, node = np.concatenate([piece[on], piece[new]]), np.concatenate([token[on], end[new]]), np.concatenate([node[on].astype(np.int64), np.zeros(len(new), np.int64)])
+        # from the last token of each piece to its first
+        rest, own, rounds = size.copy(), np.arange(len(pieces)), []
+        while len(own):
+            rounds.append((own, found := last[first[own] + rest[own] - 1]))
+            rest[own] -= lengths[found]
+            own = own[rest[own] > 0]
+        n = np.zeros(len(pieces), np.int64)
+        for own, _ in rounds:
+            n[own] += 1
+        stop = np.cumsum(n)
+        flat = np.empty(int(stop[-1]), np.int64)
+        for back, (own, found) in enumerate(rounds, 1):
+            flat[stop[own] - back] = ids[found]
+        flat, stop = flat.tolist(), stop.tolist()
+        return (tuple(flat[a:b]) for a, b in zip([0, *stop], stop, strict=False))
+
     def encode(self, piece: bytes, span: int = 1 << 14) -> list[int]:
         """The ids of one piece; a piece that is a token itself is that token. At most `span` bytes and a longest token wait."""
         if (whole := self.ranks.get(piece)) is not None:
@@ -281,12 +364,26 @@ def pieces_pattern(pattern: str):
 class Encoder:
     """Whole texts in, ids out: the pattern cuts pieces, short pieces are remembered up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 150_000, longest: int = 48):
         self.transducer, self.find = Transducer(ranks), pieces_pattern(pattern).findall
-        self.known = Recent(lambda piece: (*self.transducer.encode(piece.encode()),), keep, longest)
+        self.fresh: dict[str, tuple[int, ...]] = {}
+        self.known = Recent(self._make, keep, longest)
+
+    def _make(self, piece: str) -> tuple[int, ...]:
+        return self.fresh.get(piece) or (*self.transducer.encode(piece.encode()),)
 
     def encode(self, text: str) -> list[int]:
-        return [*chain.from_iterable(map(self.known.__getitem__, self.find(text)))]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; short pieces that aren't remembered are encoded together."""
+        cut = [*map(self.find, texts)]
+        known, old, longest = self.known, self.known.old, self.known.longest
+        new = [p for p in set(chain.from_iterable(cut)) if p not in known and p not in old and len(p) <= longest]
+        self.fresh = dict(zip(new, self.transducer.encode_many([p.encode() for p in new]), strict=True))
+        out = [[*chain.from_iterable(map(known.__getitem__, pieces))] for pieces in cut]
+        self.fresh = {}
+        return out
 
 
 def shared_coders(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder, dict[int, str]]:
@@ -312,9 +409,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         encoder, decoder, names = shared_coders(ranks_path, pattern)
         for batch in (part for whole in batches for part in parts_of(whole)):
             n, digests, decoded, same, kept = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                ids = encoder.encode(text)
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
                 n.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 sha = hashlib.sha256()
@@ -332,7 +428,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return slim.mapInArrow(lean(run), schema)
+    return small_batches(slim).mapInArrow(lean(run), schema)
 
 
 def decode_column(ids: Column, ranks_path: str) -> Column:

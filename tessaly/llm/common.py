@@ -129,6 +129,17 @@ def lean(run: Callable, keeps: bool = True) -> Callable:
     return wrapped
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """`df`, whose session now hands rows to Python workers some at a time: whole texts by ten thousands are tens of MB, several times over on both sides.
+
+    A setting of the session, so it holds for what it runs later, too; a smaller one stays. Results don't depend on it.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def trim() -> None:
     """Returns what Arrow's pool and the C library keep of freed memory; where there is no such call, nothing."""
     pa.default_memory_pool().release_unused()

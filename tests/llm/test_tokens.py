@@ -98,6 +98,22 @@ def test_last_bytes_make_no_state():
     assert len(run.moves) == 8
 
 
+def test_many_pieces_run_together():
+    """Short pieces met once make no state; many of them give what each gives alone."""
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(5)
+    run, tokens = bpe.Transducer(ranks), [*ranks]
+    run.PAIRS = 64  # places that pairs share
+    pieces = [b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 5))) for _ in range(1500)] + [bytes((x,)) for x in range(256)]
+    want = [(ranks[p],) if p in ranks else tuple(ranks[t] for t in bpe.merge(p, ranks)) for p in pieces]
+    assert run.encode_many(pieces) == want == run.encode_many(pieces, at_once=7)
+    assert run.encode_many([]) == [] and not run.moves
+    encoder = bpe.Encoder(ranks, tokenizers.PATTERN, keep=50)
+    texts = [" ".join("".join(rng.choice("abeinrsté中") for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(30)] + ODD
+    one_by_one = [[i for piece in encoder.find(t) for i in run.encode(piece.encode())] for t in texts]
+    assert encoder.encode_all(texts) == one_by_one
+    assert len(encoder.transducer.states) < 10 and not encoder.fresh  # only the piece of 5,000 letters
+
+
 def test_recent_pieces_stay():
     made = []
     memo = common.Recent(lambda k: made.append(k) or (k,), 4, 3)
