@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, lean
+from .common import Memo, lean, small_batches
 
 #: Characters that a word keeps: letters, digits and what misspellings put in their place.
 _EDGE = ".,;:!?\"'()[]{}|*#%&$<>-_"
@@ -175,7 +175,7 @@ class Model:
         long = {w for w in unknown if len(w) > _LONG}
         new = [w for w in unknown if w not in long] if long else unknown
         for at in range(0, len(new), 2048):  # their n-grams are some MB of arrays
-            self._learn(new[at : at + 8192])
+            self._learn(new[at : at + 2048])
         sums = np.zeros((len(texts), 2))
         for i, own in enumerate(split):
             known = [w for w in own if w not in long] if long else own
@@ -360,7 +360,7 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 5, 0).alias("held"))
-    return slim.mapInArrow(lean(run, keeps=False), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+    return small_batches(slim).mapInArrow(lean(run, keeps=False), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4_000) -> DataFrame:
@@ -375,4 +375,4 @@ def keep_clean(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_
         for batch in batches:
             yield batch.filter(pa.array(own.column_scores(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(lean(run, keeps=False), docs.schema)
+    return small_batches(docs).mapInArrow(lean(run, keeps=False), docs.schema)

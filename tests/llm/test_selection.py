@@ -267,6 +267,16 @@ def test_toxicity_gradients_equal_differences():
             assert (sides[0] - sides[1]) / 2e-5 / 4 == pytest.approx(part[at], abs=1e-5)
 
 
+def test_scoring_learns_each_word_once():
+    """Blocks of new words don't overlap: they were learned four times each, with four places."""
+    bag = toxicity.Bag(1 << 10)
+    model = toxicity.Model(bag, np.arange(1 << 10, dtype=np.float32) / 1000 - 0.5, np.ones(1 << 10, np.float32), 0.1)
+    words = [f"word{k}" for k in range(9_000)]
+    scores = model.scores([" ".join(words), words[0], words[-1]])
+    assert len(model.values) == len(model.place) == 9_000
+    assert np.allclose(scores[1:], [toxicity.Model(bag, model.logit_rows, model.weight_rows, 0.1).score(w) for w in (words[0], words[-1])])
+
+
 def test_toxicity_reads_long_words_to_their_end(spark, monkeypatch):
     bag = toxicity.Bag(1 << 18)
     for length in (1, 62, 63, 200, 4_093, 4_094, 4_095, 4_096, 8_190, 9_000):
