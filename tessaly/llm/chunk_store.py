@@ -38,10 +38,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_stored, ensure_checkpoint_dir, kept, lean, mix64, stored
+from .common import Memo, drop_stored, ensure_checkpoint_dir, kept, lean, mix64, parts_of, stored
 from .word_tokens import MARKS, WordBpe
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -55,23 +56,44 @@ def _digest(data: bytes) -> bytes:
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Where the chunks of an id stream end: boundaries of the rolling hash, at least LEAST and at most MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+    return cuts_of(ids, np.array([len(ids)]))[0]
+
+
+def cuts_of(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """``cuts`` of many streams that lie one behind the other. A window across their border ends less than LEAST ids from a stream's begin, where none is cut."""
     with np.errstate(over="ignore"):
         sums = np.cumsum(mix64(ids.astype(np.uint64) + np.uint64(1)))
     rolling = sums[WINDOW:] - sums[:-WINDOW]
     marks = np.flatnonzero((mix64(rolling) & np.uint64(MASK)) == 0) + WINDOW + 1
-    out, begin = [], 0
-    for mark in [*marks.tolist(), n]:
-        while mark - begin > MOST:
-            begin += MOST
-            out.append(begin)
-        if mark - begin >= LEAST or mark == n:
-            if mark > begin:
-                out.append(mark)
-                begin = mark
-    return out
+    stops = np.cumsum(sizes)
+    upto = np.searchsorted(marks, stops, "left").tolist()
+    marks, found, at, first = marks.tolist(), [], 0, 0
+    for stop, last in zip(stops.tolist(), upto, strict=True):
+        own, begin = [], first
+        for mark in [*marks[at:last], stop]:
+            while mark - begin > MOST:
+                begin += MOST
+                own.append(begin - first)
+            if mark - begin >= LEAST or mark == stop:
+                if mark > begin:
+                    own.append(mark - first)
+                    begin = mark
+        found.append(own)
+        first, at = stop, last
+    return found
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes that make up `flat`, the wanted ones in a row, and their sizes."""
+    own = sizes[wanted]
+    stop = np.cumsum(own)
+    shift = (np.cumsum(sizes) - sizes)[wanted] - stop + own
+    return flat[np.repeat(shift, own) + np.arange(own.sum())], own
+
+
+def _strings(values: pa.Array) -> list[str]:
+    """An array's strings, many times sooner than ``to_pylist``, which makes a scalar of each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 class WordIds:
@@ -89,16 +111,10 @@ class WordIds:
         self.keep = keep
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words: letters with marks behind them from the ids of both, others one by one."""
-        split = [(w, w.rstrip(MARKS)) for w in words]
-        plain = [(w, core, w[len(core) :]) for w, core in split if core.isalpha()]
-        known = self.known
-        self._learn_letters([c for c in {core for _, core, _ in plain} if c not in known])
-        self._learn_apart([t for t in {tail for _, _, tail in plain} if t and t not in known])
-        for word, core, tail in plain:
-            if tail:
-                known[word] = known[core] + known[tail]
-        self._learn_apart([w for w, core in split if not core.isalpha()])
+        """Ids of words: those of letters alone together, others one by one."""
+        alone = [w for w in words if not w.isalpha()]
+        self._learn_apart(alone)
+        self._learn_letters([*filter(str.isalpha, words)] if alone else words)
 
     def _learn_apart(self, words: list[str]) -> None:
         for word in words:
@@ -109,7 +125,7 @@ class WordIds:
         closing, known = self.closing, self.known
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.type)
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
             ends = (np.flatnonzero(closing[ids]) + 1).tolist()
             if len(ends) != len(part):
                 self._learn_apart(part)
@@ -119,17 +135,40 @@ class WordIds:
                 known[word] = raw[begin * width : end * width]
                 begin = end
 
-    def batch(self, texts: Iterable[str]) -> list[bytes]:
-        split = [t.lower().split() if self.model.is_plain(t) else t for t in texts]
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and how many each has: those of its letters and of the marks behind them, or of the whole word."""
+        cores = pc.utf8_rtrim(words, MARKS)
+        keys = pc.if_else(pc.utf8_is_alpha(cores), cores, words)
+        n_marks = pc.subtract(pc.binary_length(words), pc.binary_length(keys)).to_numpy(zero_copy_only=False)
+        keys = keys.dictionary_encode()
+        marked = np.flatnonzero(n_marks)
+        tails = [w[-n:] for w, n in zip(_strings(words.take(pa.array(marked))), n_marks[marked].tolist(), strict=True)]
+        number = {t: k for k, t in enumerate(dict.fromkeys(["", *tails]))}
+        parts = [*_strings(keys.dictionary), *number]
         if len(self.known) > self.keep:
             self.known.clear()
-        new: set[str] = set()
-        for words in split:
-            if isinstance(words, list):
-                new.update(words)
-        self._learn([w for w in new if w not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if isinstance(words, list) else np.array(self.library.encode(words, add_special_tokens=False).ids, self.type).tobytes() for words in split]
+        raw = [*map(self.known.get, parts)]
+        new = [k for k, ids in enumerate(raw) if ids is None]
+        self._learn([parts[k] for k in new])
+        for k in new:
+            raw[k] = self.known[parts[k]]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.type.itemsize
+        wanted = np.full((len(words), 2), len(keys.dictionary), np.int64)
+        wanted[:, 0] = keys.indices.to_numpy()
+        wanted[marked, 1] += np.fromiter(map(number.__getitem__, tails), np.int64, len(tails))
+        ids, own = gathered(np.frombuffer(b"".join(raw), self.type), sizes, wanted.ravel())
+        return ids, own.reshape(-1, 2).sum(axis=1)
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        plain = [*map(self.model.is_plain, texts)]
+        # a plain text has no other white space, and an empty word has no ids
+        words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t for t, is_plain in zip(texts, plain, strict=True) if is_plain], pa.large_string())))
+        each = words.flatten().dictionary_encode()
+        ids, own = gathered(*self._distinct(each.dictionary), each.indices.to_numpy())
+        ends = np.append(0, np.cumsum(own))[words.offsets.to_numpy()] * self.type.itemsize
+        raw, ends = ids.tobytes(), ends.tolist()
+        done = (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
+        return [next(done) if is_plain else np.array(self.library.encode(t, add_special_tokens=False).ids, self.type).tobytes() for t, is_plain in zip(texts, plain, strict=True)]
 
 
 def shared_ids(path: str) -> WordIds:
@@ -146,13 +185,13 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
         width = encoder.type.itemsize
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts_of(batch, 2_000, 8_000_000):
                 n, hashes, data = [], [], []
-                for raw in encoder.batch(t or "" for t in part.column("text").to_pylist()):
-                    raw += end
+                streams = [raw + end for raw in encoder.batch([t or "" for t in part.column("text").to_pylist()])]
+                stops = cuts_of(np.frombuffer(b"".join(streams), encoder.type), np.fromiter(map(len, streams), np.int64, len(streams)) // width)
+                for raw, ends in zip(streams, stops, strict=True):
                     begin, own, new = 0, [], []
-                    for stop in cuts(np.frombuffer(raw, encoder.type)):
+                    for stop in ends:
                         chunk = raw[begin * width : stop * width]
                         own.append(key := _digest(chunk))
                         new.append(None if key in seen else chunk)

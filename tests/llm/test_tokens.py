@@ -229,3 +229,39 @@ def test_joined_checksums():
     parts = [b"abcd" * 7, b"", b"wxyz" * 100]
     shifts = {len(p): chunk_store._shift(len(p)) for p in parts}
     assert chunk_store.joined_crc([(zlib.crc32(p), len(p)) for p in parts], shifts) == zlib.crc32(b"".join(parts))
+
+
+def test_a_batch_asks_for_each_word_once(library):
+    """Lookups of every word, and of a word again with each mark behind it, were most of the time that encoding took."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    ids, rng = chunk_store.WordIds(WORDS), random.Random(6)
+    ids.known = Counted()
+    texts = ["hashha wolf, wolf. wolf! Hashha " * 500, "wolf?! hashha\n" * 300]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, ids.type).tobytes() for t in texts]
+    assert ids.batch(texts) == want and ids.known.asked < 30 and "wolf," not in ids.known
+    letters = "abeinrsté .,!1 'tÀß×÷ªºµ#%&\n\t\r\xa0\xadÿ中İ"
+    odd = ["", "...", "  x  ", *ODD, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000))]
+    assert [np.frombuffer(raw, ids.type).tolist() for raw in ids.batch(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    assert ids.batch([]) == []
+
+
+def test_streams_are_cut_as_each_alone():
+    rng = np.random.default_rng(7)
+    streams = [rng.integers(0, most, n).astype("<u2") for most in (1, 5, 40_000) for n in (1, 63, 64, 65, 600, 5000, 20_000)]
+    found = chunk_store.cuts_of(np.concatenate(streams), np.array([*map(len, streams)]))
+    assert found == [chunk_store.cuts(s) for s in streams]
+    for s, ends in zip(streams, found, strict=True):
+        sizes = np.diff([0, *ends])
+        assert ends[-1] == len(s) and sizes.max() <= chunk_store.MOST and (sizes[:-1] >= chunk_store.LEAST).all()
+    assert max(map(len, found)) > 20 and chunk_store.cuts_of(np.zeros(0, "<u2"), np.zeros(0, int)) == []
