@@ -14,7 +14,8 @@ so it makes no state.
 Short pieces, of which most are met once, run through the same transducer many
 at a time: a byte of all of them is a step over flat arrays of their ways, which
 are left undetermined as a state that isn't met again isn't worth making. At most
-one way ends whole at a byte, since a prefix has one encoding.
+one way ends whole at a byte, since a prefix has one encoding. Texts are cut into
+pieces many at a time, too, and each distinct piece of theirs is looked up once.
 
 Decoding. Tokens become bytes, a bounded number at a time, and a UTF-8 automaton,
 run from where the last character of such a part begins, tells whether it is
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Recent, kept, lean, mix64, parts_of, small_batches
+from .common import Memo, Recent, gathered, kept, lean, mix64, parts_of, small_batches, strings
 
 _FAR = 1 << 60
 
@@ -234,7 +235,17 @@ class Transducer:
 
     def encode_many(self, pieces: list[bytes], at_once: int = 1 << 14) -> list[tuple[int, ...]]:
         """The ids of each of many pieces, none empty, as ``encode`` gives them."""
-        out = [None if (whole := self.ranks.get(p)) is None else (whole,) for p in pieces]
+        return [(*np.frombuffer(raw, np.int32).tolist(),) for raw in self.encode_raw(pieces, at_once)]
+
+    @cached_property
+    def whole(self) -> dict[bytes, bytes]:
+        """The id of each token as bytes."""
+        raw = np.array(self.ids, np.int32).tobytes()
+        return {t: raw[4 * k : 4 * k + 4] for k, t in enumerate(self.tokens)}
+
+    def encode_raw(self, pieces: list[bytes], at_once: int = 1 << 14) -> list[bytes]:
+        """``encode_many`` with the ids of a piece as the bytes of 32-bit integers, a fraction of what objects of them hold."""
+        out = [*map(self.whole.get, pieces)]
         order = sorted((i for i, ids in enumerate(out) if ids is None), key=lambda i: len(pieces[i]), reverse=True)
         for at in range(0, len(order), at_once):
             own = order[at : at + at_once]
@@ -242,7 +253,7 @@ class Transducer:
                 out[i] = ids
         return out
 
-    def _run(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+    def _run(self, pieces: list[bytes]) -> Iterator[bytes]:
         """The ids of pieces, longest first, a byte of all of them at a time."""
         keys, child, ends, inner, lengths, ids = self.flat
         data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -274,11 +285,11 @@ class Transducer:
         for own, _ in rounds:
             n[own] += 1
         stop = np.cumsum(n)
-        flat = np.empty(int(stop[-1]), np.int64)
+        flat = np.empty(int(stop[-1]), np.int32)
         for back, (own, found) in enumerate(rounds, 1):
             flat[stop[own] - back] = ids[found]
-        flat, stop = flat.tolist(), stop.tolist()
-        return (tuple(flat[a:b]) for a, b in zip([0, *stop], stop, strict=False))
+        raw, stop = flat.tobytes(), (4 * stop).tolist()
+        return (raw[a:b] for a, b in zip([0, *stop], stop, strict=False))
 
     def encode(self, piece: bytes, span: int = 1 << 14) -> list[int]:
         """The ids of one piece; a piece that is a token itself is that token. At most `span` bytes and a longest token wait."""
@@ -361,29 +372,113 @@ def pieces_pattern(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+#: The pattern that ``Cutter`` cuts by.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Cutter:
+    """Texts in, their pieces by WORDS out, over all characters at a time.
+
+    A piece begins where the kind of characters changes: letters, numbers, white
+    space, others. A space right before another kind belongs to its piece, other
+    white space there is a piece of its own, and so is what of the white space
+    stands before it; white space at a text's end stays whole. An apostrophe that
+    begins a piece takes the letters of a contraction.
+    """
+
+    OTHER, LETTER, NUMBER, SPACE, END = range(5)
+
+    def __init__(self):
+        import regex
+
+        self.kind = np.zeros(0x110000, np.uint8)
+        place = np.delete(np.arange(0x110000, dtype="<u4"), slice(0xD800, 0xE000))  # all but surrogates
+        every = place.tobytes().decode("utf-32-le")
+        for kind, name in ((self.LETTER, "L"), (self.NUMBER, "N"), (self.SPACE, "White_Space")):
+            for run in regex.finditer(rf"\p{{{name}}}+", every):
+                self.kind[place[run.start() : run.end()]] = kind
+
+    def pieces(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """The pieces of all texts in a row, each text's followed by one that stands for its end; where these are; and where the others are."""
+        joined = "\n".join([*texts, ""])
+        data = joined.encode()
+        if len(data) == len(joined):
+            codes = np.frombuffer(data, np.uint8)
+        else:
+            try:
+                codes = np.frombuffer(joined.encode("latin-1"), np.uint8)
+            except UnicodeEncodeError:
+                codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.kind[codes]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        kind[ends] = self.END
+        change, space = kind[1:] != kind[:-1], kind[:-1] == self.SPACE
+        start = np.ones(len(codes), bool)
+        np.logical_and(change, codes[:-1] != 0x20, out=start[1:])
+        start[:-1] |= change & space & (kind[1:] != self.END)
+        start[ends] = True
+        start[ends[:-1] + 1] = True  # also behind a text's last space
+        at = np.flatnonzero(start & (codes == 0x27))
+        a, b = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+        one = np.isin(a, (0x73, 0x74, 0x6D, 0x64)) & (kind[at + 1] != self.END)
+        two = ((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)
+        start[at[one | two] + 1] = False
+        start[at[one] + 2] = True
+        start[at[two] + 3] = True
+        place = np.flatnonzero(start)
+        last = kind[place] == self.END
+        if len(data) != len(joined):
+            more = codes >= 0x80
+            if codes.dtype != np.uint8:
+                more = more.astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
+            place = place + (np.cumsum(more, dtype=np.int64) - more)[place]
+        offsets = np.append(place, len(data))
+        found = pa.Array.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return found.dictionary_encode(), np.flatnonzero(last), np.flatnonzero(~last)
+
+
 class Encoder:
     """Whole texts in, ids out: the pattern cuts pieces, short pieces are remembered up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 150_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 250_000, longest: int = 48):
         self.transducer, self.find = Transducer(ranks), pieces_pattern(pattern).findall
-        self.fresh: dict[str, tuple[int, ...]] = {}
+        self.cutter = Cutter() if pattern == WORDS else None
+        self.fresh: dict[bytes, bytes] = {}
         self.known = Recent(self._make, keep, longest)
 
-    def _make(self, piece: str) -> tuple[int, ...]:
-        return self.fresh.get(piece) or (*self.transducer.encode(piece.encode()),)
+    def _make(self, piece: bytes) -> bytes:
+        return self.fresh.get(piece) or np.array(self.transducer.encode(piece), np.int32).tobytes()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; short pieces that aren't remembered are encoded together."""
-        cut = [*map(self.find, texts)]
+        """The ids of each text."""
+        ids, ends = self.encode_flat(texts)
+        ids, ends = ids.tolist(), ends.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _pieces(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """What ``Cutter.pieces`` gives, by the pattern itself."""
+        cut = [[*map(str.encode, self.find(t)), b"\n"] for t in texts]
+        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))) - 1
+        found = pa.array([*chain.from_iterable(cut)], pa.large_binary()).dictionary_encode()
+        return found, last, np.delete(np.arange(len(found)), last)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end. A piece is looked up once; short ones that aren't remembered are encoded together."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        found, last, others = (self.cutter.pieces if self.cutter else self._pieces)(texts)
+        distinct = strings(found.dictionary)
         known, old, longest = self.known, self.known.old, self.known.longest
-        new = [p for p in set(chain.from_iterable(cut)) if p not in known and p not in old and len(p) <= longest]
-        self.fresh = dict(zip(new, self.transducer.encode_many([p.encode() for p in new]), strict=True))
-        out = [[*chain.from_iterable(map(known.__getitem__, pieces))] for pieces in cut]
+        new = [p for p in distinct if p not in known and p not in old and len(p) <= longest]
+        self.fresh = dict(zip(new, self.transducer.encode_raw(new), strict=True))
+        raw = [*map(known.__getitem__, distinct)]
         self.fresh = {}
-        return out
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        ids, own = gathered(np.frombuffer(b"".join(raw), np.int32), sizes, found.indices.to_numpy()[others])
+        return ids, np.append(0, np.cumsum(own))[last - np.arange(len(last))]
 
 
 def shared_coders(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder, dict[int, str]]:
@@ -407,7 +502,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches):
         encoder, decoder, names = shared_coders(ranks_path, pattern)
-        for batch in (part for whole in batches for part in parts_of(whole)):
+        for batch in (part for whole in batches for part in parts_of(whole, 1_000, 1_000_000)):
             n, digests, decoded, same, kept = [], [], [], [], []
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for text, ids in zip(texts, encoder.encode_all(texts), strict=True):

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_stored, ensure_checkpoint_dir, kept, lean, mix64, parts_of, stored
+from .common import Memo, drop_stored, ensure_checkpoint_dir, gathered, kept, lean, mix64, parts_of, stored, strings
 from .word_tokens import MARKS, WordBpe
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -83,19 +83,6 @@ def cuts_of(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
     return found
 
 
-def gathered(flat: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of runs of these sizes that make up `flat`, the wanted ones in a row, and their sizes."""
-    own = sizes[wanted]
-    stop = np.cumsum(own)
-    shift = (np.cumsum(sizes) - sizes)[wanted] - stop + own
-    return flat[np.repeat(shift, own) + np.arange(own.sum())], own
-
-
-def _strings(values: pa.Array) -> list[str]:
-    """An array's strings, many times sooner than ``to_pylist``, which makes a scalar of each."""
-    return values.to_numpy(zero_copy_only=False).tolist()
-
-
 class WordIds:
     """A text's ids as bytes, by the tokenizers library: over remembered words where words are independent, else over the whole text."""
 
@@ -142,9 +129,9 @@ class WordIds:
         n_marks = pc.subtract(pc.binary_length(words), pc.binary_length(keys)).to_numpy(zero_copy_only=False)
         keys = keys.dictionary_encode()
         marked = np.flatnonzero(n_marks)
-        tails = [w[-n:] for w, n in zip(_strings(words.take(pa.array(marked))), n_marks[marked].tolist(), strict=True)]
+        tails = [w[-n:] for w, n in zip(strings(words.take(pa.array(marked))), n_marks[marked].tolist(), strict=True)]
         number = {t: k for k, t in enumerate(dict.fromkeys(["", *tails]))}
-        parts = [*_strings(keys.dictionary), *number]
+        parts = [*strings(keys.dictionary), *number]
         if len(self.known) > self.keep:
             self.known.clear()
         raw = [*map(self.known.get, parts)]

@@ -162,6 +162,19 @@ def parts_of(batch: pa.RecordBatch, rows: int = 400, characters: int = 400_000):
         yield batch.slice(begin)
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes that make up `flat`, the wanted ones in a row, and their sizes."""
+    own = sizes[wanted]
+    stop = np.cumsum(own)
+    shift = (np.cumsum(sizes) - sizes)[wanted] - stop + own
+    return flat[np.repeat(shift, own) + np.arange(own.sum())], own
+
+
+def strings(values: pa.Array) -> list:
+    """An array's strings or byte strings, many times sooner than ``to_pylist``, which makes a scalar of each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 _KEPT: dict[tuple, object] = {}
 
 

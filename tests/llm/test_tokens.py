@@ -114,6 +114,34 @@ def test_many_pieces_run_together():
     assert len(encoder.transducer.states) < 10 and not encoder.fresh  # only the piece of 5,000 letters
 
 
+def test_pieces_are_cut_all_at_once(reference):
+    """The pattern run over each text and a lookup of each piece were most of the time that encoding took."""
+    ranks, rng, asked = bpe.load_ranks(RANKS), random.Random(8), []
+
+    class Counted(common.Recent):
+        def __getitem__(self, key):
+            asked.append(key)
+            return self.get(key) or self.__missing__(key)
+
+    encoder = bpe.Encoder(ranks, tokenizers.PATTERN)
+    encoder.known, find = Counted(encoder._make, 1000, 48), encoder.find
+    encoder.find = None
+    texts = ["a wolf's hashhazza, wolf " * 400, "", "wolf \n", "hashhazza wolf's " * 300, "\n", "", "it'll"]
+    assert encoder.encode_all(texts) == [reference.encode_ordinary(t) for t in texts] and len(asked) == len({*asked}) < 20
+    assert encoder.encode_all([]) == [] and encoder.encode_all([""]) == [[]]
+    for letters in ("ab'stmdrevl 12 \n\t.,", "ab'stmdrevl  \xa0é²½.!\x85\x1c", "ab'srel  \u2003中é１😀\u0301. "):
+        for _ in range(20):
+            texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+            found, last, others = encoder.cutter.pieces(texts)
+            pieces, begin = [x.decode() for x in found.to_pylist()], 0
+            for text, end in zip(texts, last.tolist(), strict=True):
+                assert pieces[begin:end] == find(text)
+                begin = end + 1
+            assert sorted([*last, *others]) == [*range(len(pieces))]
+    other = bpe.Encoder(ranks, r"\S+|\s+")
+    assert other.cutter is None and other.encode_all(["two words", "", "two 中文"]) == [[i for p in other.find(t) for i in other.transducer.encode(p.encode())] for t in ("two words", "", "two 中文")]
+
+
 def test_recent_pieces_stay():
     made = []
     memo = common.Recent(lambda k: made.append(k) or (k,), 4, 3)
