@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,6 +151,34 @@ def trim() -> None:
         pass
 
 
+_TRIMMED = {"at": -1e9}
+
+
+def trim_driver(spark: SparkSession, least_s: float = 2.0) -> bool:
+    """Returns what the C library keeps of freed memory in the driver's JVM and its Python; whether the JVM did so.
+
+    Each query compiles code and uses buffers outside the heap on many threads, whose
+    shares of the C library's memory stay with the process. Not sooner than
+    `least_s` seconds after the last time; a JVM without such a command goes on as it is.
+    """
+    if time.monotonic() - _TRIMMED["at"] < least_s:
+        return False
+    _TRIMMED["at"] = time.monotonic()
+    trim()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # the server's class is not public to others, its interface is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
+
+
 def parts_of(batch: pa.RecordBatch, rows: int = 400, characters: int = 400_000):
     """Slices of a batch with a column `text`, of some rows and characters at most; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
@@ -205,11 +235,13 @@ def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet below the shared checkpoint folder and read back.
 
     It cuts lineage as a checkpoint does, keeps columns apart, and gives Spark
-    a size to choose joins by.
+    a size to choose joins by. As operators write many tables one after another, the
+    driver gives back freed memory here.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

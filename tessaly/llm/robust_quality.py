@@ -140,47 +140,51 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
 
 
-def _factored(out: DataFrame, inflate: float) -> DataFrame:
-    """From means m_i and covariances c_i_j of groups g, stored: the means and the lower triangle l_i_j of the Cholesky factor."""
-    p = len(STATISTICS)
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.col(f"c_{i}_{j}") * inflate + (FLOORS[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l_{j}_{j}"))
-    return stored(out.select(F.col("g").alias("mg"), *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]))
+_PAIRS = [(i, j) for i in range(len(STATISTICS)) for j in range(i + 1)]
+_ESTIMATE = [*(f"m_{i}" for i in range(len(STATISTICS))), *(f"l_{i}_{j}" for i, j in _PAIRS)]
 
 
-def _covariances(rows: DataFrame) -> DataFrame:
-    """Per group: means m_i and covariances c_i_j."""
-    p = len(STATISTICS)
-    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATISTICS)]
-    sums += [F.coalesce(F.covar_pop(STATISTICS[i], STATISTICS[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    return rows.groupBy("g").agg(*sums)
+def _factored(out: DataFrame, inflate: float, *more: str) -> DataFrame:
+    """From means m_i and covariances c_i_j of groups g, stored: the means, the lower triangle l_i_j of the Cholesky factor, and the columns `more`."""
+    for i, j in _PAIRS:
+        c = F.col(f"c_{i}_{j}") * inflate + (FLOORS[i] ** 2 if i == j else 0.0)
+        for k in range(j):
+            c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l_{j}_{j}"))
+    return stored(out.select(F.col("g").alias("mg"), *_ESTIMATE, *more))
+
+
+def _covariances(mean: str = "m") -> list[Column]:
+    """Of a group's rows: the means, named by `mean`, and the covariances c_i_j."""
+    return [F.avg(x).alias(f"{mean}_{i}") for i, x in enumerate(STATISTICS)] + [F.coalesce(F.covar_pop(STATISTICS[i], STATISTICS[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS]
 
 
 def _moments(rows: DataFrame, inflate: float) -> DataFrame:
     """Per group: means m_i and the lower triangle l_i_j of the Cholesky factor of the covariance."""
-    return _factored(_covariances(rows), inflate)
+    return _factored(rows.groupBy("g").agg(*_covariances()), inflate)
 
 
 def _starts(core: DataFrame) -> DataFrame:
     """First estimates of groups named start:group; ``_distance`` of rows that name them so starts the search."""
     p = len(STATISTICS)
-    middle = stored(core.groupBy("g").agg(*[F.percentile_approx(x, 0.5).alias(f"m_{i}") for i, x in enumerate(STATISTICS)]).withColumnRenamed("g", "mg"))
-    away = core.join(middle, F.col("g") == F.col("mg")).drop("mg")
-    spread = stored(away.groupBy("g").agg(*[(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5) * _NORMAL_MAD).alias(f"d_{i}") for i, x in enumerate(STATISTICS)]).withColumnRenamed("g", "dg"))
+    middles = [F.percentile_approx(x, 0.5).alias(f"m_{i}") for i, x in enumerate(STATISTICS)]
+    middle = stored(core.groupBy(F.col("g").alias("mg")).agg(*middles, *_covariances("a")))
+    away = core.join(middle.select("mg", *[f"m_{i}" for i in range(p)]), F.col("g") == F.col("mg"))
+    spread = away.groupBy("g").agg(*[(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5) * _NORMAL_MAD).alias(f"d_{i}") for i, x in enumerate(STATISTICS)])
+    both = stored(spread.join(middle, F.col("g") == F.col("mg")).drop("g"))
     wide = [F.sqrt(F.col(f"d_{i}") ** 2 + FLOORS[i] ** 2) for i in range(p)]
-    scaled = away.join(spread, F.col("g") == F.col("dg")).select("g", *[((F.col(x) - F.col(f"m_{i}")) / wide[i]).alias(f"z_{i}") for i, x in enumerate(STATISTICS)])
+    near = both.select("mg", *[f"m_{i}" for i in range(p)], *[f"d_{i}" for i in range(p)])
+    scaled = core.join(near, F.col("g") == F.col("mg")).select("g", *[((F.col(x) - F.col(f"m_{i}")) / wide[i]).alias(f"z_{i}") for i, x in enumerate(STATISTICS)])
     length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2))
-    signs = scaled.withColumn("r", F.greatest(length, F.lit(1e-9))).groupBy("g").agg(*[(F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("r") ** 2) * p).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    both = middle.join(spread, F.col("mg") == F.col("dg")).drop("dg")
-    means = [f"m_{i}" for i in range(p)]
-    plain = both.select(F.col("mg").alias("g"), *means, *[(F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    signed = both.join(signs, F.col("mg") == F.col("g")).select("g", *means, *[(F.col(f"s_{i}_{j}") * F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    found = [x.withColumn("g", F.concat(F.lit(f"{k}:"), F.col("g"))) for k, x in enumerate((_covariances(core), plain, signed))]
-    return _factored(found[0].unionByName(found[1]).unionByName(found[2]), 1.0)
+    signs = scaled.withColumn("r", F.greatest(length, F.lit(1e-9))).groupBy("g").agg(*[(F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("r") ** 2) * p).alias(f"s_{i}_{j}") for i, j in _PAIRS])
+    plain = {(i, j): F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0) for i, j in _PAIRS}
+    signed = {(i, j): F.col(f"s_{i}_{j}") * F.col(f"d_{i}") * F.col(f"d_{j}") for i, j in _PAIRS}
+    whole = {(i, j): F.col(f"c_{i}_{j}") for i, j in _PAIRS}
+    found = [
+        F.struct(F.concat(F.lit(f"{k}:"), F.col("g")).alias("g"), *[F.col(f"{mean}_{i}").alias(f"m_{i}") for i in range(p)], *[covariance[x].alias("c_{}_{}".format(*x)) for x in _PAIRS])
+        for k, (mean, covariance) in enumerate((("a", whole), ("m", plain), ("m", signed)))
+    ]
+    return _factored(signs.join(both, F.col("g") == F.col("mg")).select(F.explode(F.array(*found)).alias("start")).select("start.*"), 1.0)
 
 
 def _determinant() -> Column:
@@ -188,6 +192,21 @@ def _determinant() -> Column:
     return sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(STATISTICS))), F.log(F.col("l_0_0"))) * 2
 
 
+def _concentrated(rows: DataFrame, moments: DataFrame, share: float, inflate: float) -> DataFrame:
+    """A concentration step: the moments of each group's closest `share` of rows by the estimates `moments`, and `before`, the determinant that these had.
+
+    One pass over the rows adds up each distance bin, and the bins up to the
+    edge are a group's closest, so a step is one query that sends one small
+    table to all tasks.
+    """
+    sums = {f"t_{i}": F.col(x) for i, x in enumerate(STATISTICS)} | {f"t_{i}_{j}": F.col(STATISTICS[i]) * F.col(STATISTICS[j]) for i, j in _PAIRS}
+    measured = _distance(rows, moments.select("mg", *_ESTIMATE, _determinant().alias("before")))
+    inner = _within(_binned(measured, F.max("before").alias("before"), *[F.sum(x).alias(k) for k, x in sums.items()]), share)
+    n = F.sum("n")
+    means = inner.groupBy("g").agg(F.max("before").alias("before"), *[(F.sum(f"t_{i}") / n).alias(f"m_{i}") for i in range(len(STATISTICS))], *[(F.sum(f"t_{i}_{j}") / n).alias(f"t_{i}_{j}") for i, j in _PAIRS])
+    return _factored(means.select("*", *[(F.col(f"t_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i, j in _PAIRS]), inflate, "before")
+
+
 def least_determinant(core: DataFrame, share: float, steps: int) -> DataFrame:
     """Per group `g` of `core`, the moments of the closest `share` of its rows, of least determinant over all starts.
 
@@ -195,22 +214,15 @@ def least_determinant(core: DataFrame, share: float, steps: int) -> DataFrame:
     """
     inflate = share / chi2_cdf(chi2_quantile(share, len(STATISTICS)), len(STATISTICS) + 2)
     tried = core.withColumn("g", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col("g")) for k in range(3)])))
-    moments, before = _starts(core), None
+    moments = _starts(core)
     for step in range(steps):
-        measured = _distance(tried, moments)
-        near = measured.join(_closest(measured, share), F.col("g") == F.col("eg")).filter(F.col("d2") <= F.col("edge"))
-        moments = _moments(near, inflate)
-        now = moments.select(F.col("mg").alias("ng"), _determinant().alias("now"))
-        if before is not None:
-            moved = now.join(before, F.col("ng") == F.col("bg")).agg(F.coalesce(F.max(F.col("before") - F.col("now")), F.lit(0.0))).first()[0]
-            if moved < 1e-3:
-                break
-        before = now.select(F.col("ng").alias("bg"), F.col("now").alias("before"))
+        moments = _concentrated(tried, moments, share, inflate)
+        if step and moments.filter(F.col("before") - _determinant() >= 1e-3).isEmpty():
+            break
     named = moments.withColumn("start", F.substring("mg", 1, 1).cast("int")).withColumn("mg", F.expr("substring(mg, 3)")).withColumn("det", _determinant())
-    columns = moments.columns[1:]
     # a row a start: starts that end alike differ by rounding only, so the first of them is taken
-    best = F.min(F.struct(F.round("det", 6).alias("det"), "start", *columns)).alias("best")
-    return stored(named.groupBy("mg").agg(best).select("mg", *[f"best.{c}" for c in columns]))
+    best = F.min(F.struct(F.round("det", 6).alias("det"), "start", *_ESTIMATE)).alias("best")
+    return stored(named.groupBy("mg").agg(best).select("mg", *[f"best.{c}" for c in _ESTIMATE]))
 
 
 def _distance(rows: DataFrame, moments: DataFrame) -> DataFrame:
@@ -223,16 +235,25 @@ def _distance(rows: DataFrame, moments: DataFrame) -> DataFrame:
             y = y - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         out = out.withColumn(f"y_{i}", y / F.col(f"l_{i}_{i}"))
     d2 = sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, p)), F.col("y_0") * F.col("y_0"))
-    return out.withColumn("d2", d2).drop("mg", *moments.columns[1:], *[f"y_{i}" for i in range(p)])
+    return out.withColumn("d2", d2).drop("mg", *_ESTIMATE, *[f"y_{i}" for i in range(p)])
+
+
+def _binned(measured: DataFrame, *sums: Column) -> DataFrame:
+    """Per group and distance bin: the number of rows `n`, and `sums`."""
+    return measured.groupBy("g", F.floor(F.log(F.col("d2") + 1e-6) * 50).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def _within(bins: DataFrame, share: float) -> DataFrame:
+    """The bins of each group up to the one in which `share` of its rows is reached."""
+    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
+    return counted.filter(F.col("upto") - F.col("n") < F.col("all") * share)
 
 
 def _closest(measured: DataFrame, share: float) -> DataFrame:
     """Per group the edge of the distance bin in which `share` of the rows is reached."""
-    bins = measured.groupBy("g", F.floor(F.log(F.col("d2") + 1e-6) * 50).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-    edge = F.exp((F.min("bin") + 1) / 50) - 1e-6
-    return stored(reached.filter(F.col("upto") >= F.col("all") * share).groupBy(F.col("g").alias("eg")).agg(edge.alias("edge")))
+    edge = F.exp((F.max("bin") + 1) / 50) - 1e-6
+    return stored(_within(_binned(measured), share).groupBy(F.col("g").alias("eg")).agg(edge.alias("edge")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 8, tail: float = 1e-9, least: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaly.llm import bag_minhash, bit_sliced, language_id, mixing, robust_quality, toxicity, url_reputation
+from tessaly.llm import bag_minhash, bit_sliced, common, language_id, mixing, robust_quality, toxicity, url_reputation
 from tessaly.llm.common import Memo
 
 
@@ -111,6 +111,39 @@ def test_least_determinant_equals_brute_force(spark):
         assert np.corrcoef(mine, d2)[0, 1] > 0.97 and ((mine > 30) == (d2 > 30)).mean() > 0.98
 
 
+def _queries(spark, run):
+    """How many queries and broadcasts the driver starts for it."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    wait = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
+    wait(30_000)
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    wait(30_000)
+    listed, broadcasts = store.executionsList(), 0
+    new = [k for i in range(listed.size()) if (k := listed.apply(i).executionId()) not in before]
+    for k in new:
+        nodes = store.planGraph(k).allNodes()
+        broadcasts += sum(nodes.apply(i).name() == "BroadcastExchange" for i in range(nodes.size()))
+    return len(new), broadcasts
+
+
+def test_a_concentration_step_is_one_query(spark):
+    """With one broadcast, and a look at its result; steps of many queries fill the driver's memory."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (300, 4)) * [1, 2, 3, 4], rng.normal(3, 1, (200, 4))])
+    frame = spark.createDataFrame([(g, *map(float, r)) for g in "ab" for r in x], ["g", *robust_quality.STATISTICS]).repartition(3)
+    one, three = (_queries(spark, lambda n=n: robust_quality.least_determinant(frame, 0.6, n)) for n in (1, 3))
+    assert 2 <= three[0] - one[0] <= 4 and three[1] - one[1] <= 2
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    assert common.trim_driver(spark, 0) and not common.trim_driver(spark, 60)
+    asked = []
+    monkeypatch.setattr(common, "trim_driver", asked.append)
+    common.stored(spark.range(3))
+    assert len(asked) == 1
+
+
 def test_quality_keys_tell_rows_apart(spark):
     good = " ".join(f"{w}{k}" for k in range(30) for w in ("alpha", "beta", "gamma"))
     rows = [(1, good, "x", None, "k"), (1, good, None, "x", "k"), (1, "short", "x", None, "k"), (1, good + " y" * 40_000, None, None, "k")]
