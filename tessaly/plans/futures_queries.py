@@ -103,10 +103,9 @@ EVENT_STRENGTHS = (
 def coverage_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers covered by the same part: mean quantity of direct neighbours, by how much they share, and of neighbours two steps away only."""
     lines = _table(spark, sf_dir, "lineitem")
-    pairs = lines.select(F.col("l_suppkey").alias("member"), (F.col("l_partkey") % 997).alias("on")).distinct()
-    links = networks.shared_links(pairs, 3)
+    pairs = lines.select(F.col("l_suppkey").alias("member"), (F.col("l_partkey") % 997).alias("on"))
     values = lines.groupBy(F.col("l_suppkey").alias("member")).agg(F.avg("l_quantity").alias("value"))
-    return networks.neighbour_means(links, values).select("member", "neighbours", rounded(F.col("direct")).alias("direct"), rounded(F.col("indirect")).alias("indirect"))
+    return networks.shared_means(pairs, values, 3).select("member", "neighbours", rounded(F.col("direct")).alias("direct"), rounded(F.col("indirect")).alias("indirect"))
 
 
 COVERAGE_NETWORK = """with p as (select distinct l_suppkey as member, l_partkey % 997 as k from lineitem), w as (select a.member, b.member as peer, count(*) as w from p a join p b on a.k = b.k and a.member <> b.member group by all having count(*) >= 3),

@@ -12,7 +12,7 @@ from tessaly.__main__ import main
 from tessaly.functions import kernels, transforms
 from tessaly.operators import derived, evaluation, futures, joins, networks, replay, sessions
 from tessaly.operators.exposures import composite, weighted_zscore
-from tessaly.plans import models, registry
+from tessaly.plans import futures_queries, models, registry
 from tessaly.sources.datasets import Catalogue, Dataset, paired
 
 NAN = float("nan")
@@ -251,3 +251,46 @@ def test_two_steps_of_dense_and_sparse_links(spark, pairs):
     ways = {(a, b): sum(w.get((a, k), 0) * w.get((k, b), 0) for k in range(8)) for a in range(8) for b in range(8) if a != b and (a, b) not in w}
     assert {(r.member, r.peer): r.w for r in found.collect()} == {k: n for k, n in ways.items() if n}
     assert ("Join Cross" in found._jdf.queryExecution().analyzed().toString()) == (len(pairs) == 2)  # of all pairs, those that aren't linked
+
+
+def _means(held, values, least):
+    """What SQL gives by walking all links, by member."""
+    w = {(a, b): n for a in held for b in held if a != b and (n := len(held[a] & held[b])) >= least}
+    mean = lambda ways: sum(x * y for x, y in ways) / sum(x for x, _ in ways) if ways else None
+    out = {}
+    for a in held:
+        direct = [(w[a, b], values[b]) for b in held if (a, b) in w and values.get(b) is not None]
+        ways = {b: sum(w.get((a, k), 0) * w.get((k, b), 0) for k in held) for b in held if b != a and (a, b) not in w and values.get(b) is not None}
+        if direct:
+            out[a] = (len(direct), pytest.approx(mean(direct), nan_ok=True), pytest.approx(mean([(n, values[b]) for b, n in ways.items() if n]), nan_ok=True))
+    return out
+
+
+@pytest.mark.parametrize(("share", "products", "indirect"), [(0.95, 10_000, False), (0.7, 10_000, True), (0.3, 10_000, True), (0.3, 0, True)])
+def test_means_of_shared_links(spark, monkeypatch, share, products, indirect):
+    """Complete, nearly complete and sparse, the last by products and by walking; repeated and null rows, peers with no value, NaN and infinity."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(networks, "_PRODUCTS", products)
+    rows = [(f"m{m}", o) for m in range(24) for o in range(12) if rng.random() < share]
+    held = {m: {o for x, o in rows if x == m} for m, _ in rows}
+    if indirect:
+        held |= {"few": {0, 1, 2}, "less": {1, 2}, "alone": {99}}
+        rows += [(m, o) for m in ("few", "less", "alone") for o in held[m]]
+    values = {m: float(i) for i, m in enumerate(held)} | {"m3": None, "m4": float("nan"), "m5": float("inf")}
+    del values["m6"]
+    pairs = spark.createDataFrame([*rows, *rows[:9], (None, 1), ("m1", None), ("null", None)], "member string, on int")
+    given = spark.createDataFrame(list(values.items()), "member string, value double")
+    found = networks.shared_means(pairs, given, 3, block=9)
+    assert {r.member: (r.neighbours, r.direct, r.indirect) for r in found.collect()} == _means(held, values, 3)
+    if not indirect:
+        assert all(r.indirect is None for r in found.collect())
+
+
+def test_a_complete_network_stores_no_links(spark, tmp_path):
+    """700 suppliers that all share parts are 489,300 links; what stays on disk grows with the suppliers."""
+    lines = spark.range(700 * 60).select((F.col("id") % 700).alias("l_suppkey"), (F.col("id") * 7919 % 83).alias("l_partkey"), (F.col("id") % 50).cast("double").alias("l_quantity"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    used = lambda: sum(x.diskSize() + x.memSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    before = used()
+    assert {(r.neighbours, r.indirect) for r in futures_queries.coverage_network(spark, str(tmp_path)).collect()} == {(699, None)}
+    assert used() - before < 100_000
